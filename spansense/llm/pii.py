@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spansense.runtime import spread
+
 #: Reviewed rows that the name lexicon is fitted on, at most; they are those with the smallest hash of their id.
 FIT_ROWS = 20_000
 
@@ -336,7 +338,7 @@ def personal_spans(contacts: DataFrame, lexicon: Lexicon) -> DataFrame:
             cols = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["id", "kind", "span_start", "span_end"])
 
-    return contacts.select("id", "text").mapInArrow(run, "id string, kind string, span_start int, span_end int")
+    return spread(contacts.select("id", "text")).mapInArrow(run, "id string, kind string, span_start int, span_end int")
 
 
 def redacted(contacts: DataFrame, lexicon: Lexicon, key: str) -> DataFrame:
@@ -351,7 +353,7 @@ def redacted(contacts: DataFrame, lexicon: Lexicon, key: str) -> DataFrame:
                 [batch.column(0), pa.array([redact(t, s, cipher) for t, s in zip(texts, spans)], pa.string()), pa.array([len(s) for s in spans], pa.int32())], ["id", "text", "spans"]
             )
 
-    return contacts.select("id", "text").mapInArrow(run, "id string, text string, spans int")
+    return spread(contacts.select("id", "text")).mapInArrow(run, "id string, text string, spans int")
 
 
 def p4_found(contacts: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spansense.runtime import spread, wide
+
 #: Where the public vocabularies lie.
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -26,7 +28,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Cuts: the bytes that the rolling hash sees, the mean distance of cuts as a power of two, and the least and most bytes between two.
-WINDOW, MEAN_BITS, LEAST, MOST = 16, 8, 64, 4096
+WINDOW, MEAN_BITS, LEAST, MOST = 16, 9, 96, 4096
 
 #: Characters that the word pattern looks at beyond a word's end, at most ("'ll" is told from "'" by two more).
 LOOKAHEAD = 3
@@ -229,11 +231,11 @@ def token_ids(documents: DataFrame, *, tokenizers: str = TOKENIZERS, vocabulary:
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("_row", F.monotonically_increasing_id())
     keyed = rows.select(F.struct("doc_id", "_row").alias("doc"), "text")
     # the row's own number keeps rows with one doc_id apart
-    pieces = keyed.mapInArrow(split_chunks, "doc_id struct<doc_id: bigint, _row: bigint>, seq int, chunk binary")
+    pieces = spread(keyed).mapInArrow(split_chunks, "doc_id struct<doc_id: bigint, _row: bigint>, seq int, chunk binary")
     pieces = pieces.withColumns({"k1": F.xxhash64("chunk"), "k2": F.xxhash64(F.lit("second"), F.octet_length("chunk"), "chunk")})
     chunks = pieces.groupBy("k1", "k2").agg(F.first("chunk").alias("chunk")).mapInArrow(encode_chunks(path), "k1 bigint, k2 bigint, ids array<int>, keep int")
     placed = pieces.select("doc_id", "seq", "k1", "k2").join(chunks, ["k1", "k2"]).select("doc_id", F.struct("seq", "ids", "keep").alias("part"))
-    lists = placed.groupBy("doc_id").agg(F.sort_array(F.collect_list("part")).alias("parts")).select("doc_id", F.col("parts.ids").alias("ids"), F.col("parts.keep").alias("keeps"))
+    lists = placed.repartition(wide(documents.sparkSession), "doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_list("part")).alias("parts")).select("doc_id", F.col("parts.ids").alias("ids"), F.col("parts.keep").alias("keeps"))
     joined = lists.mapInArrow(join_documents(path), "doc_id struct<doc_id: bigint, _row: bigint>, ids array<int>")
     return joined.select(F.col("doc_id.doc_id").alias("doc_id"), "ids")
 
