@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from spansense.functions.jsonindex import Node, StructuralIndex
 from spansense.functions.text import has_text
+from spansense.runtime import wide
 
 #: Bytes of JSON that are indexed at once; a longer body is indexed alone.
 BLOCK_BYTES = 4 << 20
@@ -149,6 +150,7 @@ def linked_rows(decisions: DataFrame) -> DataFrame:
     digits = lambda c: F.when(F.col(c).rlike(r"\A(?:[0-9A-Fa-f]{2})++\z"), F.unhex(c))
     bodies = latest.select("key", F.explode(F.array(F.struct(F.lit(True).alias("r"), digits("request_body").alias("b")), F.struct(F.lit(False).alias("r"), digits("response_body").alias("b")))).alias("x"))
     bodies = bodies.select("key", F.col("x.r").alias("is_request"), F.col("x.b").alias("body")).where("body is not null")
+    bodies = bodies.repartition(wide(decisions.sparkSession))
     return asked.unionByName(bodies.mapInArrow(index_bodies, LINKED))
 
 

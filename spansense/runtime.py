@@ -52,3 +52,14 @@ def running_total(
     inner = Window.partitionBy(*keys).orderBy(order_hash, *ties).rowsBetween(Window.unboundedPreceding, -1)
     joined = left.join(right, match).select("l.*", F.col("r._base").alias("_base"))
     return joined.withColumn(before, F.col("_base") + F.coalesce(F.sum(value).over(inner), F.lit(0))).drop("_bucket", "_base")
+
+
+def wide(spark: SparkSession) -> int:
+    """Partitions for work that is heavy for its bytes: the session's shuffle partitions, but three tasks a core at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least :func:`wide` partitions. Input that is read in that many anyway, as large input is, isn't moved."""
+    n = wide(df.sparkSession)
+    return df if df.rdd.getNumPartitions() >= n // 2 else df.repartition(n)
