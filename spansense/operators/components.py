@@ -8,6 +8,25 @@ from pyspark.sql import functions as F
 from spansense.runtime import checkpointed
 
 
+#: Bits of the filter by which the members of shared keys are told before they are moved: 1 MB, whatever the input's size.
+FILTER_BITS = 23
+
+
+def shared_members(members: DataFrame, keys: list[str], node: str) -> DataFrame:
+    """The members whose key is shared by several nodes, and a few others.
+
+    The keys' smallest and largest nodes come from one pre-aggregated shuffle. The keys that differ in them set bits of a filter of fixed size, at most ``2**FILTER_BITS / 64``
+    rows, which is why it may be broadcast; members without their bit can't share. Where so many keys are shared that the filter fills up, it only lets more through.
+    """
+    h = F.xxhash64(*keys)
+    bit, word = F.pmod(h, F.lit(64)).cast("int"), F.shiftright(F.pmod(h, F.lit(1 << FILTER_BITS)), 6).cast("int")
+    ends = members.groupBy(*keys).agg(F.min(node).alias("_lo"), F.max(node).alias("_hi")).where("_lo < _hi")
+    bits = ends.select(word.alias("_word"), F.shiftleft(F.lit(1).cast("bigint"), bit).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    marked = members.withColumns({"_w": word, "_b": F.shiftleft(F.lit(1).cast("bigint"), bit)})
+    kept = marked.join(F.broadcast(bits), F.col("_w") == F.col("_word")).where(F.col("_bits").bitwiseAND(F.col("_b")) != 0)
+    return kept.select(*members.columns)
+
+
 def star_edges(members: DataFrame, keys: list[str], node: str, *, salts: int = 64) -> DataFrame:
     """Edges ``(src, dst)`` that connect all nodes sharing a key, without listing pairs.
 
@@ -15,7 +34,7 @@ def star_edges(members: DataFrame, keys: list[str], node: str, *, salts: int = 6
     parts by hash; each part's smallest node is its hub and the smallest hub is the key's. So a key of n nodes gives under n + ``salts``
     edges, its work is spread over ``salts`` partitions, and no node gets more than n / ``salts`` + ``salts`` edges from one key.
     """
-    rows = members.where(F.col(node).isNotNull()).select(*keys, F.col(node).alias("_n"))
+    rows = shared_members(members.where(F.col(node).isNotNull()).select(*keys, F.col(node).alias("_n")), keys, "_n")
     rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_n"), F.lit(salts)).cast("int")).distinct()
     hubs = rows.groupBy(*keys, "_salt").agg(F.min("_n").alias("_hub"), F.count(F.lit(1)).alias("_size"))
     roots = hubs.groupBy(*keys).agg(F.min("_hub").alias("_root"), F.sum("_size").alias("_all")).where("_all > 1")
