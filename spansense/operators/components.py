@@ -19,10 +19,11 @@ def shared_members(members: DataFrame, keys: list[str], node: str) -> DataFrame:
     rows, which is why it may be broadcast; members without their bit can't share. Where so many keys are shared that the filter fills up, it only lets more through.
     """
     h = F.xxhash64(*keys)
-    bit, word = F.pmod(h, F.lit(64)).cast("int"), F.shiftright(F.pmod(h, F.lit(1 << FILTER_BITS)), 6).cast("int")
+    word = F.shiftright(F.pmod(h, F.lit(1 << FILTER_BITS)), 6).cast("int")
+    with_bit = lambda df: df.withColumns({"_w": word, "_h": h}).withColumn("_b", F.expr("shiftleft(1L, cast(pmod(_h, 64) as int))"))
     ends = members.groupBy(*keys).agg(F.min(node).alias("_lo"), F.max(node).alias("_hi")).where("_lo < _hi")
-    bits = ends.select(word.alias("_word"), F.shiftleft(F.lit(1).cast("bigint"), bit).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    marked = members.withColumns({"_w": word, "_b": F.shiftleft(F.lit(1).cast("bigint"), bit)})
+    bits = with_bit(ends).groupBy(F.col("_w").alias("_word")).agg(F.bit_or("_b").alias("_bits"))
+    marked = with_bit(members)
     kept = marked.join(F.broadcast(bits), F.col("_w") == F.col("_word")).where(F.col("_bits").bitwiseAND(F.col("_b")) != 0)
     return kept.select(*members.columns)
 
