@@ -1,6 +1,6 @@
 """Semantic programs: three-valued predicates over records and bounded sequences of them."""
 
-from spansense.semantic.expr import Band, Field, Predicate, Relation, evaluate, field, kleene_or, needed, partial
+from spansense.semantic.expr import Band, Field, Predicate, Relation, empty_fields, evaluate, field, kleene_or, needed, partial
 from spansense.semantic.sequence import Gap, Limits, Sequence, Step, gap, sequence
 
-__all__ = ["Band", "Field", "Gap", "Limits", "Predicate", "Relation", "Sequence", "Step", "evaluate", "field", "gap", "kleene_or", "needed", "partial", "sequence"]
+__all__ = ["Band", "Field", "Gap", "Limits", "Predicate", "Relation", "Sequence", "Step", "empty_fields", "evaluate", "field", "gap", "kleene_or", "needed", "partial", "sequence"]

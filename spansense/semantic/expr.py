@@ -323,7 +323,7 @@ def empty_fields(records: DataFrame, fields: Mapping[str, str]) -> DataFrame:
     for alias, path in fields.items():
         kind = _type_at(records.schema, path)
         c = F.col(path)
-        blank = F.count_if(F.trim(c) == "") if isinstance(kind, T.StringType) else F.lit(0)
+        blank = F.count_if(c.rlike(r"\A[\s\p{Z}]*\z")) if isinstance(kind, T.StringType) else F.lit(0)
         empty = F.count_if(F.size(c) == 0) if isinstance(kind, (T.ArrayType, T.MapType)) else F.lit(0)
         aggs.append(F.struct(F.lit(alias).alias("alias"), F.count_if(c.isNull()).cast("bigint").alias("nulls"), blank.cast("bigint").alias("blanks"), empty.cast("bigint").alias("empties")))
     return records.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("a")).select("a.*")
