@@ -13,7 +13,7 @@ _VERDICTS = rf"""WITH r AS (
 k AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY ticket_id, id ORDER BY rev DESC, received_at DESC) = 1),
 u AS (SELECT * FROM k WHERE regexp_matches(text, '[^\s\p{{Z}}\p{{Cc}}\p{{Cf}}]')),
 f AS (SELECT ticket_id, bool_or(t IS NULL) AS timeless, bool_or(speaker IS NULL) AS unknown_role,
-    max(CASE WHEN speaker = 'agent' THEN struct_pack(t := t, id := id) END) AS a, max(CASE WHEN speaker = 'customer' THEN struct_pack(t := t, id := id) END) AS c
+    max(CASE WHEN speaker = 'agent' THEN struct_pack(t := COALESCE(t, -9000000000000000), id := id) END) AS a, max(CASE WHEN speaker = 'customer' THEN struct_pack(t := COALESCE(t, -9000000000000000), id := id) END) AS c
   FROM u GROUP BY ticket_id),
 q AS (SELECT DISTINCT ticket_id, unnest(prior_turns) AS turn FROM r),
 g AS (SELECT DISTINCT ticket_id, true AS gap FROM q ANTI JOIN (SELECT ticket_id, speaker || ': ' || text AS turn FROM r) s USING (ticket_id, turn)),
