@@ -223,17 +223,22 @@ class Field:
     def exists(self) -> Guard:
         return Guard(self.path, "exists")
 
+    def _ordered(self, op: str, value) -> Guard:
+        if _literal(value) not in ("int", "float", "time"):
+            raise InputError(f"{value!r} can't be ordered")
+        return Guard(self.path, op, (value,))
+
     def lt(self, value) -> Guard:
-        return Guard(self.path, "lt", (value,))
+        return self._ordered("lt", value)
 
     def le(self, value) -> Guard:
-        return Guard(self.path, "le", (value,))
+        return self._ordered("le", value)
 
     def gt(self, value) -> Guard:
-        return Guard(self.path, "gt", (value,))
+        return self._ordered("gt", value)
 
     def ge(self, value) -> Guard:
-        return Guard(self.path, "ge", (value,))
+        return self._ordered("ge", value)
 
 
 def field(path: str) -> Field:
