@@ -97,10 +97,13 @@ TAIL = re.compile(
     re.I,
 )
 SCRIPT = re.compile(
-    r"(?=.*(?:\bjava ?script|\bscripts?\b|\bscripting\b|\bskripte?n?\b|\bjs\b|\bcookies?\b|\bbrowser\b|\bnavegador\b|\bnavigateur\b|\bnoscript\b|przeglądark|ブラウザ))"
-    r"(?=.*(?:\benable|\bactivate|\ballow|\bturn(?:ed)? (?:it )?on|\bswitch (?:on|off)|\bpermit|\brequire|\bneeds?\b|\bneed to|\bout of date|\bchecking your|\bunsupported|\bblock|\buse a browser|\bupdate your|\baktivier|\bohne aktivierte|\bactive[zr]?\b|\bactiva\b|\bbesoin|"
-    r"\bnão executa|\bative|\bhabilit|\bwłącz|有効|\bto run this|\bto continue|\bto view))",
-    re.I | re.S,
+    r"\bjava ?script|\bscripts?\b|\bscripting\b|\bskripte?n?\b|\bjs\b|\bcookies?\b|\bbrowser\b|\bnavegador\b|\bnavigateur\b|\bnoscript\b|przeglądark|ブラウザ",
+    re.I,
+)
+NEED = re.compile(
+    r"\b(?:enable|activate|allow|turn(?:ed)? (?:it )?on|switch (?:on|off)|permit|require|needs?\b|need to|out of date|checking your|unsupported|block|use a browser|update your|aktivier|ohne aktivierte|active[zr]?\b|activa\b|besoin|"
+    r"não executa|ative|habilit|włącz|to run this|to continue|to view)|有効",
+    re.I,
 )
 # Every piece of evidence holds one of these, in lower case, so that most texts are told clean without a pattern.
 HOLE_CUES = (
@@ -158,7 +161,7 @@ def evidence_in(sentence: str) -> str | None:
     if not REPORTS.search(bare):
         if ERROR.search(bare):
             return "error"
-        if SCRIPT.search(bare):
+        if SCRIPT.search(bare) and NEED.search(bare):
             return "script"
     return "tail" if TAIL.search(bare) else None
 
