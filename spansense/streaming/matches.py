@@ -43,7 +43,10 @@ def stream_sequences(events: DataFrame, *, key: str, time: str, kind: str, steps
     def advance(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         open_ = [list(t) for t in (eval_state(state.get[0]) if state.exists else [])]
         out = []
-        rows = pd.concat(list(batches)).sort_values([time, kind]) if not state.hasTimedOut else pd.DataFrame(columns=[time, kind])
+        if state.hasTimedOut:  # the watermark has passed all that could still grow
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values([time, kind])
         for t, what in zip(rows[time].tolist(), rows[kind].tolist()):
             at, fresh = t.timestamp(), []
             for times, skipped in open_:
@@ -59,14 +62,15 @@ def stream_sequences(events: DataFrame, *, key: str, time: str, kind: str, steps
             open_ = fresh
         if open_:
             state.update((dump_state(open_),))
-            state.setTimeoutDuration(int(within_seconds * 1000) + 1)
+            last = max(max(times) for times, _ in open_)
+            state.setTimeoutTimestamp(max(int((last + within_seconds) * 1000), state.getCurrentWatermarkMs()) + 1)
         elif state.exists:
             state.remove()
         if out:
             yield pd.DataFrame({key: [k[0]] * len(out), "times": out})
 
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
-    return events.select(key, time, kind).groupBy(key).applyInPandasWithState(advance, f"{key} {kinds[key]}, times array<double>", "open string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.select(key, time, kind).withWatermark(time, late).groupBy(key).applyInPandasWithState(advance, f"{key} {kinds[key]}, times array<double>", "open string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def dump_state(open_: list) -> str:
