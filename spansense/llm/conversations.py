@@ -36,6 +36,8 @@ def fragments(messages: DataFrame, roles: DataFrame) -> DataFrame:
         message_time().alias("time"),
         "speaker",
         "text",
+        F.xxhash64("text").alias("text_hash"),
+        has_text(F.col("text")).alias("visible"),
         F.xxhash64(F.concat(F.col("speaker"), F.lit(": "), F.col("text"))).alias("said"),
         F.concat("speaker", F.lit(": "), "text").isNotNull().alias("_says"),
         F.transform(quotes, lambda x: F.xxhash64(x)).alias("quoted"),
@@ -95,7 +97,7 @@ def gaps(frags: DataFrame, graph: DataFrame) -> DataFrame:
 
 def turns(frags: DataFrame, *, text: bool) -> DataFrame:
     """The kept row of each message that holds text: the one with the highest revision, among equals the last received, then a fixed order."""
-    wanted = ["revision", "received_at", "time", "speaker", F.xxhash64("text").alias("text_hash"), has_text(F.col("text")).alias("visible"), "fragment"]
+    wanted = ["revision", "received_at", "time", "speaker", "text_hash", "visible", "fragment"]
     best = frags.select("ticket_id", "id", F.struct(*wanted, *(["text"] if text else [])).alias("row"))
     kept = best.groupBy("ticket_id", "id").agg(F.max("row").alias("row")).select("ticket_id", "id", "row.*")
     return kept.where("visible").drop("visible", "text_hash", "revision", "received_at")
@@ -108,7 +110,11 @@ def verdicts(messages: DataFrame, roles: DataFrame) -> DataFrame:
     customer turn, no agent turn, or a customer turn after the last agent turn (equal times go by ``id``). Rows without ``ticket_id`` belong to no
     ticket; an empty table gives no rows; repeated rows change nothing; a null ``id`` is a message of its own.
     """
-    frags = fragments(messages, roles)
+    frags = fragments(messages, roles).drop("text")
+    return _verdicts(frags, overlap_graph(frags))
+
+
+def _verdicts(frags: DataFrame, graph: DataFrame) -> DataFrame:
     at = F.struct(F.col("time"), F.col("id"))
     one = lambda x: F.coalesce(x.cast("int"), F.lit(0))
     by_ticket = turns(frags, text=False).groupBy("ticket_id").agg(
@@ -125,7 +131,7 @@ def verdicts(messages: DataFrame, roles: DataFrame) -> DataFrame:
     )
     none = lambda df, gap: df.select("ticket_id", *[F.lit(v).alias(n) for n, v in (("timeless", 0), ("unknown_role", 0), ("gap", gap), ("unanswered", 0), ("has_turns", 0), ("both", 0))])
     all_tickets = frags.select("ticket_id").distinct()
-    marks = flags.unionByName(none(gaps(frags, overlap_graph(frags)), 1)).unionByName(none(all_tickets, 0))
+    marks = flags.unionByName(none(gaps(frags, graph), 1)).unionByName(none(all_tickets, 0))
     summed = marks.groupBy("ticket_id").agg(*[F.max(c).alias(c) for c in ("timeless", "unknown_role", "gap", "unanswered", "has_turns", "both")])
     yes = lambda c: F.col(c) == 1
     return summed.select(
@@ -163,14 +169,16 @@ def conversations(messages: DataFrame, roles: DataFrame) -> DataFrame:
     counted by ticket and day first and ordered within a day only. See :func:`verdicts` for what is dropped.
     """
     frags = fragments(messages, roles)
-    sound = verdicts(messages, roles).where("not broken").select("ticket_id")
+    slim = checkpointed(frags.drop("text"))
+    graph = checkpointed(overlap_graph(slim))
+    sound = _verdicts(slim, graph).where("not broken").select("ticket_id")
     kept = turns(frags, text=True).join(sound, "ticket_id").withColumn("day", F.unix_date(F.to_date("time")))
     days = kept.groupBy("ticket_id", "day").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("ticket_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     days = days.select("ticket_id", "day", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     within = Window.partitionBy("ticket_id", "day").orderBy("time", "id")
     placed = kept.join(days, ["ticket_id", "day"]).withColumn("turn_no", (F.col("base") + F.row_number().over(within)).cast("bigint"))
-    merged = placed.join(paths(overlap_graph(frags)), ["ticket_id", "fragment"], "left")
+    merged = placed.join(paths(graph), ["ticket_id", "fragment"], "left")
     return merged.select("ticket_id", "turn_no", "id", "speaker", F.col("time").alias("sent_at"), "text", F.coalesce("path", "fragment").alias("path"))
 
 

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spansense.runtime import spread
+from spansense.runtime import checkpointed, spread
 
 #: A line is furniture of its host if it stands in at least this many of its records and this share of them.
 MIN_RECORDS, MIN_SHARE = 5, 0.0005
@@ -244,7 +244,8 @@ def residue(documents: DataFrame, *, host: str = "source", min_records: int = MI
     no row; a null host is a host of its own; rows with one ``doc_id`` are taken as one record; an empty table gives no rows.
     """
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(host).cast("string").alias("host"), "text")
-    lines = spread(rows).mapInArrow(line_rows, "doc_id bigint, host string, line bigint, found int, tail int, other int, hole int")
+    # read below by several branches, each of which would search the texts again
+    lines = checkpointed(spread(rows).mapInArrow(line_rows, "doc_id bigint, host string, line bigint, found int, tail int, other int, hole int"))
     kept = lines.where("found > 0 or tail > 0 or hole > 0")
     plain = lines.where("found = 0 and tail = 0 and hole = 0 and other > 0")
     suspects = kept.groupBy("doc_id").agg(F.sum("found").alias("found"), F.sum("tail").alias("tail"), F.sum("other").alias("other"), F.max("hole").alias("hole"))
