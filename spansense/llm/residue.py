@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from spansense.runtime import checkpointed, spread
 
-#: A line is furniture of its host if it stands in at least this many of its records and this share of them.
-MIN_RECORDS, MIN_SHARE = 5, 0.0005
+#: A line is furniture of its host if this share of the host's distinct texts holds it, counted as if the host had this many further texts without it,
+#: so that a few texts make no share. Ordinary sentences reach up to 4 % of a host, the lines of code and tables that recur in drafts up to 9 %.
+MIN_SHARE, FURTHER_TEXTS = 0.1, 100
 #: A record consists of evidence if at least this share of its words, without furniture and headings, is evidence.
 EVIDENCE_SHARE = 0.5
 
@@ -217,7 +218,7 @@ def read_lines(text: str) -> list[tuple[str, int, int, int]]:
 
 
 def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(doc_id, host, text)`` to one row per record and distinct line."""
+    """``(doc_id, host, text)`` to one row per record and distinct line, with a hash of the whole text."""
     for batch in batches:
         rows: list[tuple] = []
         for doc, host, text in zip(*[batch.column(i).to_pylist() for i in range(3)]):
@@ -230,30 +231,32 @@ def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at[1] += max(-found, 0)
                 at[2] += other
                 at[3] |= hole
-            rows.extend((doc, host, xxhash.xxh3_64_intdigest(line.encode()) - 2**63, *v) for line, v in per.items())
-        cols = list(zip(*rows)) or [[]] * 7
-        types = [batch.column(0).type, pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "host", "line", "found", "tail", "other", "hole"])
+            whole = xxhash.xxh3_64_intdigest(text.encode()) - 2**63
+            rows.extend((doc, host, whole, xxhash.xxh3_64_intdigest(line.encode()) - 2**63, *v) for line, v in per.items())
+        cols = list(zip(*rows)) or [[]] * 8
+        types = [batch.column(0).type, pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "host", "whole", "line", "found", "tail", "other", "hole"])
 
 
-def residue(documents: DataFrame, *, host: str = "source", min_records: int = MIN_RECORDS, min_share: float = MIN_SHARE, evidence_share: float = EVIDENCE_SHARE) -> DataFrame:
+def residue(documents: DataFrame, *, host: str = "source", min_share: float = MIN_SHARE, further_texts: int = FURTHER_TEXTS, evidence_share: float = EVIDENCE_SHARE) -> DataFrame:
     """``(doc_id, evidence, other, placeholder, excluded)``: what remains of each record without its host's furniture.
 
     ``evidence`` and ``other`` are words; ``excluded`` tells that a placeholder is left, or that strong evidence (not just the tail of a message, such as
-    "try later") makes up ``evidence_share`` of the words. Lines with evidence or placeholders are never furniture. Null, empty and blank texts give
+    "try later") makes up ``evidence_share`` of the words. Lines with evidence or placeholders are never furniture; copies of a text count once towards
+    what is, so that repeating a table changes no verdict. Null, empty and blank texts give
     no row; a null host is a host of its own; rows with one ``doc_id`` are taken as one record; an empty table gives no rows.
     """
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(host).cast("string").alias("host"), "text")
     # read below by several branches, each of which would search the texts again
-    lines = checkpointed(spread(rows).mapInArrow(line_rows, "doc_id bigint, host string, line bigint, found int, tail int, other int, hole int"))
+    lines = checkpointed(spread(rows).mapInArrow(line_rows, "doc_id bigint, host string, whole bigint, line bigint, found int, tail int, other int, hole int"))
     kept = lines.where("found > 0 or tail > 0 or hole > 0")
     plain = lines.where("found = 0 and tail = 0 and hole = 0 and other > 0")
     suspects = kept.groupBy("doc_id").agg(F.sum("found").alias("found"), F.sum("tail").alias("tail"), F.sum("other").alias("other"), F.max("hole").alias("hole"))
-    # lines are counted over all records; only those of records with evidence matter afterwards
-    sizes = rows.where("text is not null").groupBy("host").agg(F.count(F.lit(1)).alias("_records"))
-    counted = plain.groupBy("host", "line").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_records)
+    # lines are counted over all distinct texts; only those of records with evidence matter afterwards
+    sizes = rows.where("text is not null").groupBy("host").agg(F.countDistinct(F.xxhash64("text")).alias("_texts"))
+    counted = plain.groupBy("host", "line").agg(F.countDistinct("whole").alias("_n")).where(F.col("_n") >= min_share * further_texts)
     match = lambda a, b: a.join(b.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
-    recurrent = match(counted, sizes).where(F.col("_n") >= F.col("_records") * min_share).select(F.col("host").alias("_host"), F.col("line").alias("_line"))
+    recurrent = match(counted, sizes).where(F.col("_n") >= (F.col("_texts") + further_texts) * min_share).select(F.col("host").alias("_host"), F.col("line").alias("_line"))
     residual = plain.join(suspects.select("doc_id").distinct(), "doc_id", "left_semi")
     residual = residual.join(recurrent, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line")), "left_anti")
     more = residual.groupBy("doc_id").agg(F.sum("other").alias("more"))

@@ -33,6 +33,19 @@ def test_furniture_is_subtracted(spark):
     assert [r[0] for r in p8_found(df).collect()] == [50]
 
 
+def test_copies_change_no_verdict(spark):
+    thanks = "Thank you for the quick help, the lamp is running well again."
+    error = "Request failed: maintenance is under way."
+    # 1 of 40 distinct texts holds the sentence: no furniture, however often the table is repeated
+    rows = [(f"Customer {chr(97 + i % 26) * (1 + i // 26)} writes about a lamp and what it does.", "chat") for i in range(39)] + [(f"{error}\n{thanks}\n{thanks} It is {thanks}", "chat")]
+    # a menu in 30 of 31 distinct texts is furniture
+    menu = "Menu of all the things that we have in stock today and tomorrow."
+    rows += [(f"{menu}\nA page about {chr(97 + i % 26) * (1 + i // 26)} and what it does.", "web") for i in range(30)] + [(f"{menu}\n{error}", "web")]
+    for copies in (1, 7):
+        df = spark.createDataFrame([(i * copies + c, t, h) for i, (t, h) in enumerate(rows) for c in range(copies)], "doc_id bigint, text string, source string")
+        assert sorted({r[0] // copies for r in p8_found(df).collect()}) == [len(rows) - 1], copies
+
+
 @pytest.mark.parametrize("text", ["a" * 100000, "{{" * 30000, "[" * 30000, "_ " * 30000, "error " * 15000, "%a " * 20000, '"' * 20001, "lorem " * 15000])
 def test_long_texts_stay_fast(text):
     began = time.perf_counter()
