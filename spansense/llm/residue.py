@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spansense.llm.cues import Cues, fold
 from spansense.runtime import checkpointed, spread
 
 #: A line is furniture of its host if this share of the host's distinct texts holds it, counted as if the host had this many further texts without it,
@@ -106,22 +108,11 @@ NEED = re.compile(
     r"não executa|ative|habilit|włącz|to run this|to continue|to view)|有効",
     re.I,
 )
-# Every piece of evidence holds one of these, in lower case, so that most texts are told clean without a pattern.
-HOLE_CUES = (
-    "{{", "{%", "${", "<%", "<?", "<<", "«", "%(", "$$", "@@", "##", "*|", "__", "xx", "[[", "[", "(your ", "(insert", "(enter", "(votre", "(ihr", "(su ", "<", "{", "dd.mm", "dd/mm", "tt.mm", "jj/mm", "../..", "(delete", "(nicht",
-    "order 0000", "undefined", "null", "none", "nan", "nil", "invalid date", "n/a", "here)", "tbc", "%",
-)
-CUES = (
-    "lorem", "ipsum", "ullam", " sint", "vestib", "pellent", "fugia", "curab", "maecen", "adipis", "occae", "commod", "article title", " dolor", "cillum", "velit", "magna", " elit", "nostrud", "irure", "aliqua", "culpa", "veniam", "mollit", "pariat", "dummy", "filler", "sample", "placeholder", "replace this", "change this", "goes here", "text block", "demo layout",
-    "platzhalter", "blindtext", "beispieltext", "ihr text", "exemple", "faux texte", "remplissage", "relleno", "ejemplo", "exemplo", "marcador", "di prova", "zastępcz", "przykład", "todo write", "do not publish", "ダミー", "サンプル", "ここに", "to be written", "subtitle",
-    "asdf", "qwer", "blah", "xxxx", "test test", "foo bar", "hjkl", "http 4", "http 5", "http/", "error", "erreur 4", "erreur 5", "fehler 4", "fehler 5", "interner fehler", "błąd", "404", "403", "500", "501", "502", "503", "504", "429", "400", "401", "408", "410",
-    "fatal", "traceback", "exception", "not found", "page gone", "looking for", "can't find", "can’t find", "cannot find", "be reached", "denied", "forbidden", "blocked", "request failed", "timed out", "bad gateway", "gateway", "offline", "unavailable", "expired", "too many req",
-    "rate limit", "could not", "you are human", "not available in", "connection was reset", "maintenance", "something broke", "went wrong", "did not work", "unexpected", "crashed", "leads nowhere", "run out", "upstream", "returned status", "asked for", "no longer exists", "been removed", "ray ", "file \"", "return ", "\tat ", " at ", "...", " text", "lack permission", "internal", "oops",
-    "edge-proxy", "never existed", "introuvable", "momentanément", "nicht gefunden", "angeforderte", "no encontramos", "no encontrada", "inesperado", "não encontrada", "nie istnieje", "nie znaleziono", "見つかりません", "エラーが", "拒否", "try later", "try again later", "go back", "reload in", "been told",
-    "goes on", "check the spelling", "incident", "reference", "trace ", "sign in again", "slow down", "come back", "vérifiez", "retry in", "takes about", "javascript", "java script", "script", "skript", " js", "js ", "cookie", "browser", "navegador", "navigateur", "przeglądark", "ブラウザ",
-)
+# derived from the patterns, so that a line without them holds no match; filler and tails are searched for in every sentence
+HOLE_CUES, ERROR_CUES, SCRIPT_CUES = Cues(PLACEHOLDER, FAILED), Cues(ERROR), Cues(SCRIPT)
 _SENTENCE = re.compile(r"[^\n]*?(?:[.!?](?=\s|$)|[。！？]|\n|$)", re.S)
 _SPACES = re.compile(r"\s+")
+_WORDS = re.compile(r"[^\W\d_]+|\d+")
 _WORDISH = re.compile(r"\w+|[^\w\s]")
 
 
@@ -144,31 +135,39 @@ def _weight(s: str) -> int:
     return max(len(s.split()), len(s) // 12, 1)
 
 
+@lru_cache(maxsize=100_000)
+def _kind(word: str) -> tuple[bool, bool]:
+    return word in LATIN or word.startswith(LATIN_STEMS), _KEYS.match(word) is not None
+
+
 def is_filler(s: str) -> bool:
-    words = re.findall(r"[^\W\d_]+|\d+", s.lower())
+    words = _WORDS.findall(s.lower())
     if not words:
         return False
     if FILLER.search(s) or SLOTS.match(s) or all(SLOT.match(p) for p in s.split(" / ")):
         return True
-    latin = sum(w in LATIN or w.startswith(LATIN_STEMS) for w in words)
-    return (len(words) >= 2 and latin >= 0.7 * len(words)) or (len(words) >= 3 and all(_KEYS.match(w) for w in words))
+    kinds = [_kind(w) for w in words]
+    return (len(words) >= 2 and sum(latin for latin, _ in kinds) >= 0.7 * len(words)) or (len(words) >= 3 and all(key for _, key in kinds))
+
+
+def message_in(sentence: str, error: bool = True, script: bool = True) -> str | None:
+    """``error`` or ``script`` if the sentence is such a message and doesn't report or quote it; false flags tell that it has no cue of one."""
+    if not error and not script:
+        return None
+    bare = _bare(sentence)
+    kind = "error" if error and ERROR.search(bare) else "script" if script and SCRIPT.search(bare) and NEED.search(bare) else None
+    return kind if kind and not REPORTS.search(bare) else None
 
 
-def evidence_in(sentence: str) -> str | None:
+def _bare(sentence: str) -> str:
+    return _QUOTED.sub(" ", sentence) if not sentence.lstrip().startswith("{") and 'file "' not in sentence.lower() else sentence
+
+
+def evidence_in(sentence: str, error: bool = True, script: bool = True) -> str | None:
     """``filler``, ``error``, ``script`` or ``tail`` if the sentence is such evidence and doesn't report or quote it."""
     if is_filler(sentence):
         return None if re.search(r"\b(?:our|my|the) draft\b|\blast week\b", sentence, re.I) else "filler"
-    bare = _QUOTED.sub(" ", sentence) if not sentence.lstrip().startswith("{") and 'file "' not in sentence.lower() else sentence
-    if not REPORTS.search(bare):
-        if ERROR.search(bare):
-            return "error"
-        if SCRIPT.search(bare) and NEED.search(bare):
-            return "script"
-    return "tail" if TAIL.search(bare) else None
-
-
-def _cued(low: str, cues: tuple[str, ...]) -> bool:
-    return any(c in low for c in cues)
+    return message_in(sentence, error, script) or ("tail" if TAIL.search(_bare(sentence)) else None)
 
 
 def has_placeholder(sentence: str) -> bool:
@@ -184,27 +183,24 @@ def has_placeholder(sentence: str) -> bool:
 def read_lines(text: str) -> list[tuple[str, int, int, int]]:
     """``(normal line, evidence words, other words, placeholder)`` of each line that isn't blank; code between fences holds no evidence."""
     out = []
-    low = text.lower()
-    holes_near, words_near = _cued(low, HOLE_CUES), _cued(low, CUES)
     fenced = _FENCE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
     for line, shown in zip(text.split("\n"), fenced.split("\n")):
         if not line.strip():
             continue
         found = other = holes = 0
         strong = False
-        here = line.lower()
-        hole_here, word_here = holes_near and _cued(here, HOLE_CUES), words_near and _cued(here, CUES)
-        if not hole_here and not word_here:
-            out.append((normal_line(line), 0, 0 if is_label(line) else _weight(line), 0))
-            continue
+        here = fold(shown)
+        hole, error, script = HOLE_CUES.near(here), ERROR_CUES.near(here), SCRIPT_CUES.near(here)
         sentences = [m.group() for m in _SENTENCE.finditer(shown) if m.group().strip()]
-        kinds = [evidence_in(s) if word_here and _cued(s.lower(), CUES) else None for s in sentences]
-        whole = evidence_in(shown) if word_here and len(sentences) > 1 and not any(kinds) and len(shown) < 400 else None
-        if word_here and SLOTS.match(shown.strip()):
+        kinds = [evidence_in(s, error, script) for s in sentences]
+        whole = message_in(shown, error, script) if len(sentences) > 1 and not any(kinds) and len(shown) < 400 else None
+        if whole and is_filler(shown):
+            whole = None
+        if SLOTS.match(shown.strip()):
             kinds = ["filler"] * len(sentences)
         for s, kind in zip(sentences, kinds):
-            holes += hole_here and _cued(s.lower(), HOLE_CUES) and has_placeholder(s)
-            if kind or whole in ("error", "script"):
+            holes += hole and has_placeholder(s)
+            if kind or whole:
                 found += _weight(s)
                 strong |= (kind or whole) != "tail"
             else:

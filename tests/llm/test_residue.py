@@ -1,7 +1,10 @@
 import time
+from re import _parser
 
 import pytest
 
+from spansense.llm import residue
+from spansense.llm.cues import fold
 from spansense.llm.residue import clean_documents, has_placeholder, p8_found, read_lines
 
 BAD = [
@@ -52,3 +55,56 @@ def test_long_texts_stay_fast(text):
     read_lines(text)
     has_placeholder(text[:5000])
     assert time.perf_counter() - began < 10
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "We couldn't find that page", "Es ist ein Fehler aufgetreten", "405: Method", "451 - Not for you", "bla bla bla", "testing testing 123", "xxx xxx xxx", "Your content here", "Section 2 TBD", "Article body",
+        "The bill is (fill in name) so far.", "We met (add date) at noon.", "Wir danken (Name einfügen) sehr.", "It was (amount TBD) in all.", "It ships on DD-MM-YYYY at last.", "PAGE NOT FOUND", "JAVAſCRIPT needs to be on to view this", "in do et id",
+    ],
+)
+def test_every_spelling_is_searched_for(text):
+    _, found, _, hole = read_lines(text)[0]
+    assert found > 0 or hole
+
+
+def _samples(items):
+    """Strings that spell out each alternative of a parsed pattern."""
+    out = [""]
+    for op, av in items:
+        name = str(op)
+        if name == "LITERAL":
+            more = [chr(av)]
+        elif name == "IN":
+            kind, value = next((i for i in av if str(i[0]) != "NEGATE"), (None, None))
+            negated = str(av[0][0]) == "NEGATE"
+            more = ["q"] if negated else [chr(value)] if str(kind) == "LITERAL" else [chr(value[0])] if str(kind) == "RANGE" else ["5" if "DIGIT" in str(value) else "-" if "NOT_WORD" in str(value) else " " if "SPACE" in str(value) else "q"]
+        elif name == "SUBPATTERN":
+            more = _samples(av[3])
+        elif name == "BRANCH":
+            more = [s for b in av[1] for s in _samples(b)]
+        elif name == "MAX_REPEAT":
+            more = [s * max(av[0], 1) if av[0] else "" for s in _samples(av[2])] + (_samples(av[2]) if not av[0] else [])
+        elif name == "ANY":
+            more = ["q"]
+        else:
+            continue
+        out = [a + b for a in out for b in more[:150]][:20_000]
+    return out
+
+
+@pytest.mark.parametrize("name", ["PLACEHOLDER", "FAILED", "ERROR", "SCRIPT"])
+def test_cues_pass_every_alternative(name):
+    rx = getattr(residue, name)
+    cues = {"PLACEHOLDER": residue.HOLE_CUES, "FAILED": residue.HOLE_CUES, "ERROR": residue.ERROR_CUES, "SCRIPT": residue.SCRIPT_CUES}[name]
+    parsed = _parser.parse(rx.pattern, rx.flags)
+    branches = next(av[1] for op, av in parsed if str(op) == "BRANCH") if len(parsed) == 1 else [parsed]
+    matched = 0
+    for branch in branches:
+        for sample in _samples(branch):
+            for text in (sample, sample.upper(), f"so {sample}"):
+                if rx.search(text):
+                    matched += 1
+                    assert cues.near(fold(text)), text
+    assert matched >= len(branches)
