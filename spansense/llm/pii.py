@@ -23,6 +23,9 @@ from spansense.runtime import spread
 #: Reviewed rows that the name lexicon is fitted on, at most; they are those with the smallest hash of their id.
 FIT_ROWS = 20_000
 
+#: So many bits keep the pseudonyms of a billion values apart but for a chance of 1 in 10**11.
+PSEUDONYM_BITS = 96
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 # Words of shared mailboxes.
@@ -297,12 +300,12 @@ class Feistel:
 
 
 def placeholder(kind: str, value: str, cipher: Feistel) -> str:
-    """``[kind pseudonym]``: numbers keep their format; of the other kinds the pseudonym is an eight-digit number, permuted from a keyed digest."""
+    """``[kind pseudonym]``: numbers keep their format; of the other kinds the pseudonym is the first ``PSEUDONYM_BITS`` of a keyed digest in hexadecimal."""
     if kind in ("phone", "id_number") and re.search(r"[0-9]", value):
         return f"[{kind} {cipher.text(value, kind)}]"
     plain = " ".join(value.lower().split())
     digest = hmac.new(cipher.key, f"{kind}|{plain}".encode(), hashlib.sha256).digest()
-    return f"[{kind} {cipher.permute(int.from_bytes(digest[:8], 'big') % 10**8, 10**8, kind):08d}]"
+    return f"[{kind} {digest[: PSEUDONYM_BITS // 8].hex()}]"
 
 
 def redact(text: str | None, spans: list[tuple[int, int, str]], cipher: Feistel) -> str | None:
