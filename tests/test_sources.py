@@ -11,7 +11,7 @@ from spansense.functions.questions import BoxAnswer, Choice, ChoiceAnswer, Noul,
 from spansense.functions.sqlfunctions import register
 from spansense.functions.text import has_text, instant, strip
 from spansense.operators.claims import check_claims
-from spansense.operators.judge import KeywordJudge
+from spansense.operators.judge import KeywordJudge, ScriptedJudge
 from spansense.operators.pattern import Pattern
 from spansense.sources.lockfile import append_decisions, missing_keys, probabilities, read_lockfile
 from spansense.sources.texts import image_fits, image_size, line_number, read_jsonl, read_texts
@@ -101,6 +101,26 @@ def test_claims(spark):
     assert [(r["line"], r["verdict"]) for r in rows] == [(6, "first-hand"), (6, "first-hand"), (6, "linked")]
 
 
+def test_claims_read_paragraphs_links_before_and_the_uncertain_band(spark):
+    text = (
+        "> Quoted people wait for about 3 days.\n\n| a table | of 3 days | for all of us |\n\n~~~\ncode that waits for 3 days now\n~~~\n\n<!-- a remark on the 3 days of waiting -->\n\n"
+        "We measured this ourselves last week. The weather was fine for all. Parcels took 3 days to arrive.\n\n"
+        "The [filing](https://a.invalid/f) says so to everyone. Staff waited 4 days for an answer.\n\n"
+        "Perhaps it took them 5 days then.\n\nNobody says why 6 days have passed."
+    )
+
+    def answer(state, question):
+        sentence = state.split("Sentence:")[-1]
+        if question == "a claim":
+            return 0.9 if "days" in sentence else 0.1
+        if question == "is it sourced":
+            return 0.35 if "Perhaps" in sentence else 0.05
+        return 0.9 if "We measured" in state else 0.1
+
+    rows = check_claims(spark.createDataFrame([(1, text)], "doc_id int, text string"), ScriptedJudge(answer), claim="a claim", sourced="is it sourced", firsthand="first-hand").orderBy("ord").collect()
+    assert [(r["text"].split()[0], r["verdict"]) for r in rows] == [("Parcels", "first-hand"), ("Staff", "linked"), ("Perhaps", "check"), ("Nobody", "unsourced")]
+
+
 def test_cli(spark, tmp_path, capsys):
     (tmp_path / "a.txt").write_text("one\nyou fool\nthree\n")
     words = json.dumps({"insult": ["fool"]})
