@@ -148,8 +148,7 @@ def _sql_units(s: SparkSession, d: str) -> DataFrame:
 
 def _claims(s: SparkSession, d: str) -> DataFrame:
     judge = KeywordJudge({"claim": ("percent", "%", "measured", "days"), "sourced": ("sources", "cites"), "first-hand": ("we measured", "our team")})
-    docs = table(s, d, "documents").where("source = 'markdown_draft'").select("doc_id", "text")
-    return claims.check_claims(docs, judge, claim="is it a claim", sourced="is it sourced", firsthand="is it first-hand").select("doc_id", "ord", "line", "verdict", "figures")
+    return claims.check_claims(_documents(s, d), judge, claim="is it a claim", sourced="is it sourced", firsthand="is it first-hand").select("doc_id", "ord", "line", "verdict", "figures")
 
 
 def _requests(s: SparkSession, d: str) -> DataFrame:
