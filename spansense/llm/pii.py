@@ -2,8 +2,8 @@
 
 E-mail addresses, phone numbers, identity numbers and street addresses are found by their formats; names by a lexicon of given and family
 names that is fitted on a bounded sample of reviewed rows, and by the cues around them where the lexicon doesn't know a word. What belongs to an
-organisation is told by shared-mailbox names and by the words before a number or address. Validated numbers and dates are
-permuted within their format by a keyed Feistel network, so that equal values get equal placeholders in every document.
+organisation is told by shared-mailbox names and by the words before a number or address. Phone and identity
+numbers are permuted within their format by a keyed Feistel network, so that values written alike get equal placeholders in every document.
 """
 
 from __future__ import annotations
