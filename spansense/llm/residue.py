@@ -57,12 +57,55 @@ EXPLAINS = re.compile(
     r"schreib(?:e|en|t)|bedeutet|ersetze[n]?|écri(?:re|vez|t)|remplacez|signifie|escriba|reemplace|significa)\b",
     re.I,
 )
-REPORTS = re.compile(
-    r"\b(?:i|me|my|mine|he|she|his|her|they|customers?|client|kunde|kunden|cliente|reader|told|said|says|wrote|writes|écrit|schreibt|escribe|reported|means|fixed|no longer|whenever|which|messages? (?:come|comes|disappears|appears)|"
-    r"was returned|were returned|times|wenn die meldung|si le message|si aparece|last week|our draft|itself)\b",
+
+
+def _words(text: str) -> frozenset[str]:
+    return frozenset(text.split())
+
+
+#: Words of a person who reports, of repeated or past occasions, of a repair or of a condition: a page that fails speaks of itself, now.
+REPORTS = _words(
+    "i me my mine he she his her him they them told said says say wrote reported reports fixed longer whenever which whose times itself last week yesterday ago since customer customers client clients reader "
+    "kunde kunden er ich mir mein meine schreibt sagte gestern wenn écrit dit moi je mon client si mes cliente clientes escribe dice aparece yo mi cuando draft messages ours"
+)
+#: What a page or a service is made of, and what is wrong with it. A sentence with a word of both is an error message unless it reports.
+THINGS = _words(
+    "page pages site website url link address article content view server servers gateway upstream backend worker database connection session request requests response service services region country area permission "
+    "status template maintenance proxy host access something side seite adresse inhalt verbindung dienst zugriff página pagina sitio contenido servidor servicio acceso conexão conexión strona adres serwer usługa contenu "
+    "adresse serveur connexion accès human robot"
+)
+FAILS = _words(
+    "not no never can't can’t cannot couldn't couldn’t lack gone removed deleted denied forbidden blocked expired failed fails broke broken crashed reset unreachable unavailable temporarily currently nowhere invalid refused closed missing "
+    "unexpected internal timeout timed exceeded many wrong error errors problem bad verify under moved existed nicht kein keine fehler gesperrt abgelaufen introuvable indisponible expirée refusé erreur n'existe interdit encontramos "
+    "encontrada encontrado inesperado error caducado denegado não erro nie błąd istnieje"
+)
+_GAVE_OUT = re.compile(r"\b(?:run|runs|ran|timed|times) out\b|\b(?:is|are|was|went) (?:offline|down)\b")
+#: A failure by its noun alone needs to be told from one that is mended or talked about.
+FAULT_NOUNS, SUDDEN = _words("error errors fehler erreur erro błąd problem"), _words("occurred aufgetreten survenue ocurrido producido ocorreu wystąpił unexpected internal unknown fatal interner internen unerwarteter unbekannter inesperado interno inattendue interne inconnue nieoczekiwany")
+#: Nouns of a failure that, beside a status code, are a message of their own.
+FAULTS = r"(?:http(?:/\d(?:\.\d)?)?|error|erreur|fehler|errore|erro|błąd|status|code|código)"
+#: A failure as machines write it: status codes at the start, exception names, stack frames, error objects, server banners.
+MACHINE = re.compile(
+    rf"^\W*(?:{FAULTS}\W*)?[45]\d\d\b(?! ?%)(?=\W*$|[ \-:.,]+\D)|\b{FAULTS} [45]\d\d\b|^\W*(?:error|fatal|exception)\b *:|^\W*\{{ ?\"error\"|\btraceback \(|^\W*(?:[\w$]+\.)*\w*(?:exception|error): ?|^\W*(?:[\w$]+\.)+\w*exception\b|"
+    r"^\s*at [\w$.]+\([\w.]+:\d+\)|^\s*file \"[^\"]+\", line \d+|^\s*return \w+\[\w+\]|^\W*[a-z][\w\-]*/\d+(?:\.\d+)*\W*$|\berrno\b|^\W*(?:oops|whoops)\b|\brate limit\b|that did not work",
     re.I,
 )
-_QUOTED = re.compile(r"`[^`\n]*`|[\"“„»][^\"”“«\n]{0,200}[\"”“«]")
+#: Sentences that go with a message: advice to come back or try again, a number to quote, that somebody was notified, a wait.
+AFTER = re.compile(
+    r"\b(?:try|retry|reload|refresh|go back|come back|sign in|log in|search|spelling|slow down|please wait|later|once more|vérifiez|réessayez|reintente|versuchen)\b|\b(?:incident|reference|trace|ray|ticket|quote|código|code|errno|id)\W+\w*\d|"
+    r"\bhas been (?:told|notified|informed|alerted|logged)|\btakes (?:about )?\d+|\bin \w+\W*$",
+    re.I,
+)
+#: What a page asks the reader's browser for, and how. A sentence, or two in a row, with a word of both is a notice unless it reports.
+SCRIPTS = re.compile(r"\bjava ?script|\bscripts?\b|\bscripting\b|\bskripte?n?\b|\bjs\b|\bcookies?\b|\bbrowsers?\b|\bnavegador\b|\bnavigateur\b|\bnoscript\b|przeglądark|ブラウザ|クッキー", re.I)
+ASKS = _words(
+    "enable enabled activate activated allow allowed turn turned switch switched permit permitted require required requires need needs needed works date checking check unsupported supported block blocks blocker update upgrade please "
+    "cannot use before aktivieren aktivierte aktiviere aktiviert benötigt activez activer activa active activar besoin nécessaire requis executa ejecuta ative ativar habilite habilitar habilita włącz wymagany wymaga"
+)
+_NO_SPACES = re.compile(r"[぀-ヿ㐀-鿿]")
+#: Scripts without spaces between words: failures and requests.
+JOINED_ERROR, JOINED_ASK = re.compile(r"見つかりません|エラー|アクセスが拒否|接続できません|利用できません|存在しません"), re.compile(r"有効|許可|必要|オンに")
+_QUOTED = re.compile(r"`[^`\n]*`|[\"“„»][^\"”“«\n]*[\"”“«]")
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 
 # Filler.
@@ -71,7 +114,7 @@ LATIN = frozenset(
     "commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum "
     "vestibulum maecenas pellentesque curabitur".split()
 )
-LATIN_STEMS = tuple(sorted({w[:5] for w in LATIN if len(w) >= 5}))
+LATIN_STEMS = frozenset(w[:5] for w in LATIN if len(w) >= 5)
 FILLER = re.compile(
     r"\b(?:lorem ipsum|dummy (?:copy|text)|filler text|sample (?:text|heading|sentence|closing|copy)|placeholder (?:text|copy|for)|(?:replace|change) this (?:paragraph|text|sentence)|your (?:text|content|headline) (?:goes )?here|text block \d+|demo layout|"
     r"platzhalter(?:text)?|blindtext|beispieltext|hier steht (?:später )?ihr text|texte? d['’]exemple|faux texte|texte de remplissage|texto de (?:relleno|ejemplo|exemplo)|texto de marcador|testo di prova|tekst (?:zastępczy|przykładowy)|"
@@ -80,54 +123,37 @@ FILLER = re.compile(
 )
 SLOT = re.compile(r"^\W*(?:[^\W\d]+(?: [^\W\d]+)?)(?: \d+)? (?:placeholder|sample|goes here|text|to be written|tbd|tbc|title|subtitle|body|dummy|here|\.{2,})\W*$", re.I)
 SLOTS = re.compile(r"^(?:\W*[^\W\d]+ \d+ (?:placeholder|sample|goes here|text|to be written|tbd|tbc|dummy|\.{2,})[\s./|,;]*){2,}$", re.I)
-_KEYS = re.compile(r"^(?:asdf|jkl|qwer|qwerty|hjkl|zxcv|uiop|fdsa|dfgh|blah|bla|foo|bar|baz|test|testing|x+|\d{1,3}|and|then|some|more)$", re.I)
-
-# Error messages and pages, by their words.
-ERROR = re.compile(
-    r"^\W*(?:http(?:/\d(?:\.\d)?)?|error|erreur|fehler|errore?|erro|błąd|status)?[ :]*[45]\d\d\b(?: ?[-:.,]| not found| bad gateway| forbidden| internal| service|\W*$)|^\W*error:|^\W*fatal\b|^\W*\{ ?\"error\"|\btraceback \(most recent|"
-    r"^\W*(?:[\w$]+\.)*\w*(?:exception|error): |^\W*(?:[\w$]+\.)+\w*exception\b|^\s*at [\w$.]+\([\w.]+:\d+\)|^\s*file \"[^\"]+\", line \d+|^\s*return \w+\[\w+\]|"
-    r"\b(?:page (?:not found|gone|you were looking for)|(?:can['’]t|cannot|could not|couldn['’]t) (?:find|be) (?:that|this|the)? ?(?:page|reached|loaded|rendered)|not found$|access (?:denied|forbidden)|request (?:was )?(?:blocked|failed|timed out)|bad gateway|"
-    r"gateway (?:gave|time)|service (?:is )?(?:temporarily )?(?:offline|unavailable)|session has expired|too many requests|rate limit|could not (?:be loaded|be rendered|connect)|database \(errno|verify you are human|not available in your (?:region|country)|"
-    r"site can['’]t be reached|connection was reset|down for maintenance|maintenance is under way|something (?:broke|went wrong)|that did not work|unexpected (?:response|error)|worker crashed|leads nowhere|link has run out|link has expired|(?:article|page|content|item) you asked for|no longer exists|has been removed|"
-    r"upstream closed|waiting for upstream|returned status|lack permission|internal (?:server )?(?:error|problem)|whoops|oops|edge-proxy|never existed|"
-    r"page introuvable|service momentanément|seite nicht gefunden|angeforderte adresse|interner fehler|ist ein .{0,20}fehler aufgetreten|no encontramos la página|página no encontrada|error inesperado|página não encontrada|strona nie istnieje|nie znaleziono)|"
-    r"ページが見つかりません|エラーが発生|アクセスが拒否",
-    re.I,
-)
-TAIL = re.compile(
-    r"\b(?:try (?:again )?later|go back (?:and retry|home)|reload in|try the search|crew has been told|if this goes on|quote \d+|check the spelling|incident \d+|reference \d+|trace \d+|ray \d+|sign in again|slow down|please come back|come back in|vérifiez l['’]adresse|"
-    r"código \d+|retry in|takes about|keyerror|in render|your request was blocked|no view for id)\b",
-    re.I,
-)
-SCRIPT = re.compile(
-    r"\bjava ?script|\bscripts?\b|\bscripting\b|\bskripte?n?\b|\bjs\b|\bcookies?\b|\bbrowser\b|\bnavegador\b|\bnavigateur\b|\bnoscript\b|przeglądark|ブラウザ",
-    re.I,
-)
-NEED = re.compile(
-    r"\b(?:enable|activate|allow|turn(?:ed)? (?:it )?on|switch (?:on|off)|permit|require|needs?\b|need to|out of date|checking your|unsupported|block|use a browser|update your|aktivier|ohne aktivierte|active[zr]?\b|activa\b|besoin|"
-    r"não executa|ative|habilit|włącz|to run this|to continue|to view)|有効",
-    re.I,
-)
-# derived from the patterns, so that a line without them holds no match; filler and tails are searched for in every sentence
-HOLE_CUES, ERROR_CUES, SCRIPT_CUES = Cues(PLACEHOLDER, FAILED), Cues(ERROR), Cues(SCRIPT)
-_SENTENCE = re.compile(r"[^\n]*?(?:[.!?](?=\s|$)|[。！？]|\n|$)", re.S)
-_SPACES = re.compile(r"\s+")
-_WORDS = re.compile(r"[^\W\d_]+|\d+")
-_WORDISH = re.compile(r"\w+|[^\w\s]")
+_RUNS = frozenset("asdf jkl qwer qwerty hjkl zxcv uiop fdsa dfgh blah bla foo bar baz test testing x".split())
+_KEYS = re.compile(r"^(?:asdf|jkl|qwer|qwerty|hjkl|zxcv|uiop|fdsa|dfgh|blah|bla|foo|bar|baz|test|testing|x+|\d{1,3}|and|then|some|more)$")
 
 
-def normal_line(line: str) -> str:
-    """A line without case, outer marks of quotation and the values of its numbers."""
-    return re.sub(r"\d+", "0", _SPACES.sub(" ", line).strip(" >").lower())
+# derived from the patterns, so that a text without them holds no match
+HOLE_CUES = Cues(PLACEHOLDER, FAILED)
+_SCRIPT_MARKS = ("script", "skript", "js", "cookie", "browser", "navegador", "navigateur", "przeglądark", "ブラウザ", "クッキー")
+_MACHINE_MARKS = ("error", "exception", "traceback", "errno", "fatal", "oops", "rate limit", "did not work", "erreur", "fehler", "erro", "błąd", "status", "code", "código", "http", 'file "', "return ")
+_MACHINE_SIGNS = re.compile(r"(?<!\d)[45]\d\d(?!\d)|/\d|\(\w+\.\w+:\d")
+_SENTENCE = re.compile(r"[^\n]*?(?:[.!?](?=\s|$)|[。！？]|\n|$)", re.S)
+_SPACES = re.compile(r"[^\S\n]+")
+_DIGITS = re.compile(r"\d+")
+_WORDS = re.compile(r"[^\W\d_]+|\d+")
+_SPOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+_NAVIGATION = re.compile(r"^[^\W\d][\w()]*(?: \w+)?(?:(?: ?[|·•»>/] ?|[^\S\n]{2,})[^\W\d][\w()]*(?: [\w()]+)?)+$")
+_FILL_WORDS = frozenset(
+    "lorem dummy filler sample placeholder replace change your text demo platzhalter platzhaltertext blindtext beispieltext hier texte exemple faux remplissage texto relleno ejemplo exemplo marcador testo prova tekst zastępczy przykładowy "
+    "todo publish article goes here written tbd tbc title subtitle body".split()
+)
 
 
-_NAVIGATION = re.compile(r"^[^\W\d][\w()]*(?: \w+)?(?:(?: ?[|·•»>/] ?|[^\S\n]{2,})[^\W\d][\w()]*(?: [\w()]+)?)+$")
+def normal_lines(text: str) -> list[str]:
+    """The lines of a text that aren't blank, without case, outer marks of quotation, runs of blanks and the values of their numbers."""
+    folded = _DIGITS.sub("0", _SPACES.sub(" ", text.lower()))
+    return [bare for line in folded.split("\n") if (bare := line.strip(" >\r\t"))]
 
 
 def is_label(line: str) -> bool:
     """True for a heading, a name, a button or a row of links: few words that are no sentence."""
     line = line.strip()
-    return (len(line.split()) <= 4 and not re.search(r"[.!?。:;]$", line)) or (len(line) <= 60 and _NAVIGATION.match(line) is not None)
+    return (len(line.split()) <= 4 and not re.search(r"[.!?。:;]$", line)) or _NAVIGATION.match(line) is not None
 
 
 def _weight(s: str) -> int:
@@ -137,37 +163,95 @@ def _weight(s: str) -> int:
 
 @lru_cache(maxsize=100_000)
 def _kind(word: str) -> tuple[bool, bool]:
-    return word in LATIN or word.startswith(LATIN_STEMS), _KEYS.match(word) is not None
+    return word in LATIN or word[:5] in LATIN_STEMS, _KEYS.match(word) is not None
+
+
+def _may_be_machine(low: str) -> bool:
+    return any(m in low for m in _MACHINE_MARKS) or _MACHINE_SIGNS.search(low) is not None
+
+
+def _may_fill(low: str, words: set[str]) -> bool:
+    """Whether some sentence of a text can be filler at all."""
+    return not (_FILL_WORDS.isdisjoint(words) and _RUNS.isdisjoint(words) and LATIN_STEMS.isdisjoint({w[:5] for w in words})) or ".." in low or "xx" in low or "dfgh" in low or _NO_SPACES.search(low) is not None
 
 
 def is_filler(s: str) -> bool:
+    """True if a sentence fills space: made-up Latin, keyboard runs, or the words of a slot that waits for content."""
     words = _WORDS.findall(s.lower())
     if not words:
         return False
-    if FILLER.search(s) or SLOTS.match(s) or all(SLOT.match(p) for p in s.split(" / ")):
-        return True
     kinds = [_kind(w) for w in words]
-    return (len(words) >= 2 and sum(latin for latin, _ in kinds) >= 0.7 * len(words)) or (len(words) >= 3 and all(key for _, key in kinds))
+    if len(words) >= 2 and sum(latin for latin, _ in kinds) >= 0.7 * len(words) and any(w[:5] in LATIN_STEMS for w in words):
+        return True
+    if len(words) >= 3 and all(key for _, key in kinds) and not all(w.isdigit() for w in words):
+        return True
+    if _FILL_WORDS.isdisjoint(words) and ".." not in s and not _NO_SPACES.search(s):
+        return False
+    return bool(FILLER.search(s) or SLOTS.match(s)) or all(SLOT.match(p) for p in s.split(" / "))
 
 
-def message_in(sentence: str, error: bool = True, script: bool = True) -> str | None:
-    """``error`` or ``script`` if the sentence is such a message and doesn't report or quote it; false flags tell that it has no cue of one."""
-    if not error and not script:
-        return None
+def _bare(sentence: str) -> str:
+    """The sentence without what it quotes; machine output has quotes of its own."""
+    if not any(q in sentence for q in "`\"“„»"):
+        return sentence
+    return _QUOTED.sub(" ", sentence) if not sentence.lstrip().startswith("{") and 'file "' not in sentence.lower() else sentence
+
+
+def _reports(bare: str) -> bool:
+    return not REPORTS.isdisjoint(_SPOKEN.findall(bare.lower()))
+
+
+def is_error(sentence: str) -> bool:
+    """True if a sentence is the message of a failure: written by a machine, or a thing of the web and what is wrong with it; a report is none."""
     bare = _bare(sentence)
-    kind = "error" if error and ERROR.search(bare) else "script" if script and SCRIPT.search(bare) and NEED.search(bare) else None
-    return kind if kind and not REPORTS.search(bare) else None
+    low = bare.lower()
+    words = _SPOKEN.findall(low)
+    if _NO_SPACES.search(low) and JOINED_ERROR.search(low):
+        return True
+    machine = _may_be_machine(low) and MACHINE.search(bare) is not None
+    told = (not THINGS.isdisjoint(words) and (not FAILS.isdisjoint(words) or _GAVE_OUT.search(low) is not None)) or not (FAULT_NOUNS.isdisjoint(words) or SUDDEN.isdisjoint(words))
+    return (machine or told) and REPORTS.isdisjoint(words)
 
 
-def _bare(sentence: str) -> str:
-    return _QUOTED.sub(" ", sentence) if not sentence.lstrip().startswith("{") and 'file "' not in sentence.lower() else sentence
+def _asks(bare: str) -> bool:
+    return not ASKS.isdisjoint(_SPOKEN.findall(bare.lower())) or JOINED_ASK.search(bare) is not None
+
 
+def kinds_of(sentences: list[str]) -> list[str | None]:
+    """What each sentence of a text is evidence of, reading neighbours together: ``filler``, ``error``, ``script``, ``after``, else null.
 
-def evidence_in(sentence: str, error: bool = True, script: bool = True) -> str | None:
-    """``filler``, ``error``, ``script`` or ``tail`` if the sentence is such evidence and doesn't report or quote it."""
-    if is_filler(sentence):
-        return None if re.search(r"\b(?:our|my|the) draft\b|\blast week\b", sentence, re.I) else "filler"
-    return message_in(sentence, error, script) or ("tail" if TAIL.search(_bare(sentence)) else None)
+    A notice may name the browser or its scripts in one sentence and say what to do in the next. What usually follows a message counts only in a text that has one.
+    """
+    low = fold("\n".join(sentences))
+    words = set(_WORDS.findall(low))
+    kinds: list[str | None] = [None] * len(sentences)
+    if _may_fill(low, words):
+        kinds = ["filler" if is_filler(s) and not _reports(s) else None for s in sentences]
+    if any(m in low for m in _SCRIPT_MARKS):
+        bare = [_bare(s) for s in sentences]
+        names = [k is None and SCRIPTS.search(b) is not None and not _reports(b) for k, b in zip(kinds, bare)]
+        if any(names):
+            asks = [_asks(b) and not _reports(b) for b in bare]
+            for i, named in enumerate(names):
+                if not named:
+                    continue
+                if asks[i]:
+                    kinds[i] = "script"
+                else:
+                    for j in (i - 1, i + 1):
+                        if 0 <= j < len(asks) and asks[j] and kinds[j] in (None, "script"):
+                            kinds[i] = kinds[j] = "script"
+    wrong = not FAILS.isdisjoint(words) or "n't" in low or "n’t" in low or "n'" in low or _GAVE_OUT.search(low) is not None
+    told = (wrong and not THINGS.isdisjoint(words)) or not (FAULT_NOUNS.isdisjoint(words) or SUDDEN.isdisjoint(words))
+    if told or _may_be_machine(low) or _NO_SPACES.search(low):
+        for i, s in enumerate(sentences):
+            if kinds[i] is None and is_error(s):
+                kinds[i] = "error"
+    if any(kinds):
+        for i, s in enumerate(sentences):
+            if kinds[i] is None and AFTER.search(_bare(s)) and not _reports(s):
+                kinds[i] = "after"
+    return kinds
 
 
 def has_placeholder(sentence: str) -> bool:
@@ -180,86 +264,92 @@ def has_placeholder(sentence: str) -> bool:
     return False
 
 
-def read_lines(text: str) -> list[tuple[str, int, int, int]]:
-    """``(normal line, evidence words, other words, placeholder)`` of each line that isn't blank; code between fences holds no evidence."""
-    out = []
-    fenced = _FENCE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
-    for line, shown in zip(text.split("\n"), fenced.split("\n")):
-        if not line.strip():
-            continue
-        found = other = holes = 0
-        strong = False
-        here = fold(shown)
-        hole, error, script = HOLE_CUES.near(here), ERROR_CUES.near(here), SCRIPT_CUES.near(here)
-        sentences = [m.group() for m in _SENTENCE.finditer(shown) if m.group().strip()]
-        kinds = [evidence_in(s, error, script) for s in sentences]
-        whole = message_in(shown, error, script) if len(sentences) > 1 and not any(kinds) and len(shown) < 400 else None
-        if whole and is_filler(shown):
-            whole = None
-        if SLOTS.match(shown.strip()):
-            kinds = ["filler"] * len(sentences)
-        for s, kind in zip(sentences, kinds):
-            holes += hole and has_placeholder(s)
-            if kind or whole:
-                found += _weight(s)
-                strong |= (kind or whole) != "tail"
-            else:
-                other += _weight(s)
-        if not sentences:
-            other += _weight(line)
-        if not found and not holes and is_label(line):
-            other = 0
-        out.append((normal_line(line), found if strong else -found, other, int(holes > 0)))
-    return out
+def read_lines(text: str) -> list[tuple[int, int, int, int]] | None:
+    """``(evidence words, words after evidence, other words, placeholder)`` of each line that isn't blank, null for a text without any evidence.
+
+    Code between fences holds no evidence; labels weigh nothing beside it.
+    """
+    fenced = _FENCE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text) if "```" in text else text
+    lines = [(line, shown) for line, shown in zip(text.split("\n"), fenced.split("\n")) if line.strip(" >\r\t")]
+    cut: list[tuple[int, str]] = []
+    for n, (_, shown) in enumerate(lines):
+        bare = shown.strip()
+        cut += [(n, bare)] if bare and SLOTS.match(bare) else [(n, s) for m in _SENTENCE.finditer(shown) if (s := m.group().strip())]
+    kinds = kinds_of([s for _, s in cut])
+    near = HOLE_CUES.near(fold(fenced))
+    holes = [near and has_placeholder(s) for _, s in cut]
+    if not any(kinds) and not any(holes):
+        return None
+    out = [[0, 0, 0, 0] for _ in lines]
+    seen = [False] * len(lines)
+    for (n, s), kind, hole in zip(cut, kinds, holes):
+        out[n][{None: 2, "after": 1}.get(kind, 0)] += _weight(s)
+        out[n][3] |= int(hole)
+        seen[n] = True
+    for n, (line, _) in enumerate(lines):
+        if not seen[n]:
+            out[n][2] = _weight(line)
+        if not out[n][0] and not out[n][1] and not out[n][3] and is_label(line):
+            out[n][2] = 0
+    return [tuple(v) for v in out]  # type: ignore[misc]
+
+
+_LINES = "array<struct<line:bigint,found:int,after:int,other:int,hole:int>>"
 
 
 def line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(doc_id, host, text)`` to one row per record and distinct line, with a hash of the whole text."""
+    """``(doc_id, host, text)`` to a row per text that isn't blank: the hashes of its normalised lines and of all of them, and for a text with evidence what each line holds."""
+    digest = lambda s: xxhash.xxh3_64_intdigest(s) - 2**63
+    item = pa.struct([("line", pa.int64()), ("found", pa.int32()), ("after", pa.int32()), ("other", pa.int32()), ("hole", pa.int32())])
     for batch in batches:
-        rows: list[tuple] = []
+        docs, hosts, wholes, hashes, marks = [], [], [], [], []
         for doc, host, text in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-            if not text:
+            normal = normal_lines(text) if text else []
+            if not normal:
                 continue
-            per: dict[str, list[int]] = {}
-            for line, found, other, hole in read_lines(text):
-                at = per.setdefault(line, [0, 0, 0, 0])
-                at[0] += max(found, 0)
-                at[1] += max(-found, 0)
-                at[2] += other
-                at[3] |= hole
-            whole = xxhash.xxh3_64_intdigest(text.encode()) - 2**63
-            rows.extend((doc, host, whole, xxhash.xxh3_64_intdigest(line.encode()) - 2**63, *v) for line, v in per.items())
-        cols = list(zip(*rows)) or [[]] * 8
-        types = [batch.column(0).type, pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", "host", "whole", "line", "found", "tail", "other", "hole"])
-
-
-def residue(documents: DataFrame, *, host: str = "source", min_share: float = MIN_SHARE, further_texts: int = FURTHER_TEXTS, evidence_share: float = EVIDENCE_SHARE) -> DataFrame:
-    """``(doc_id, evidence, other, placeholder, excluded)``: what remains of each record without its host's furniture.
-
-    ``evidence`` and ``other`` are words; ``excluded`` tells that a placeholder is left, or that strong evidence (not just the tail of a message, such as
-    "try later") makes up ``evidence_share`` of the words. Lines with evidence or placeholders are never furniture; copies of a text count once towards
-    what is, so that repeating a table changes no verdict. Null, empty and blank texts give
-    no row; a null host is a host of its own; rows with one ``doc_id`` are taken as one record; an empty table gives no rows.
+            keys = [digest(line) for line in normal]
+            read = read_lines(text)
+            docs.append(doc)
+            hosts.append(host)
+            wholes.append(digest("\n".join(normal)))
+            hashes.append(sorted(set(keys)))
+            marks.append(None if read is None else [(k, *v) for k, v in zip(keys, read, strict=True)])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(docs, pa.int64()), pa.array(hosts, pa.string()), pa.array(wholes, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array([m and [dict(zip(("line", "found", "after", "other", "hole"), x)) for x in m] for m in marks], pa.list_(item))],
+            ["doc_id", "host", "whole", "lines", "marks"],
+        )
+
+
+def residue(documents: DataFrame, *, host: str = "source", min_share: float = MIN_SHARE, further_texts: int = FURTHER_TEXTS, evidence_share: float = EVIDENCE_SHARE, subtract: bool = True) -> DataFrame:
+    """``(doc_id, evidence, other, placeholder, excluded)`` of the records with evidence: what is left of each without its host's furniture.
+
+    All normalised lines are counted by host over its distinct normalised texts, so that copies, and pages that differ in numbers only, count once. Lines that ``min_share`` of them
+    hold are furniture and are subtracted, evidence or not. ``evidence`` and ``other`` are words of what is left; a record of which nothing is left is judged by
+    all its lines. ``excluded`` tells that a placeholder was left, or that evidence (with more than what merely follows a message) makes up ``evidence_share`` of the words. A placeholder is never
+    furniture: a line of a template that stays unfilled in every record is a fault of each. Null, empty and blank texts give no row; a null host is a
+    host of its own; rows with one ``doc_id`` are taken as one record; an empty table gives no rows. Without ``subtract`` nothing is furniture (for comparison).
     """
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(host).cast("string").alias("host"), "text")
     # read below by several branches, each of which would search the texts again
-    lines = checkpointed(spread(rows).mapInArrow(line_rows, "doc_id bigint, host string, whole bigint, line bigint, found int, tail int, other int, hole int"))
-    kept = lines.where("found > 0 or tail > 0 or hole > 0")
-    plain = lines.where("found = 0 and tail = 0 and hole = 0 and other > 0")
-    suspects = kept.groupBy("doc_id").agg(F.sum("found").alias("found"), F.sum("tail").alias("tail"), F.sum("other").alias("other"), F.max("hole").alias("hole"))
-    # lines are counted over all distinct texts; only those of records with evidence matter afterwards
-    sizes = rows.where("text is not null").groupBy("host").agg(F.countDistinct(F.xxhash64("text")).alias("_texts"))
-    counted = plain.groupBy("host", "line").agg(F.countDistinct("whole").alias("_n")).where(F.col("_n") >= min_share * further_texts)
-    match = lambda a, b: a.join(b.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
-    recurrent = match(counted, sizes).where(F.col("_n") >= (F.col("_texts") + further_texts) * min_share).select(F.col("host").alias("_host"), F.col("line").alias("_line"))
-    residual = plain.join(suspects.select("doc_id").distinct(), "doc_id", "left_semi")
-    residual = residual.join(recurrent, F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line")), "left_anti")
-    more = residual.groupBy("doc_id").agg(F.sum("other").alias("more"))
-    out = suspects.join(more, "doc_id", "left").withColumn("other", F.col("other") + F.coalesce("more", F.lit(0)))
-    evidence = F.col("found") + F.col("tail")
+    read = checkpointed(spread(rows).mapInArrow(line_rows, f"doc_id bigint, host string, whole bigint, lines array<bigint>, marks {_LINES}"))
+    marked = read.where("marks is not null").select("doc_id", "host", F.inline("marks"))
+    if subtract:
+        texts = read.groupBy("host", "whole").agg(F.first("lines").alias("lines"))
+        # the count of a host's texts rides along as its line null
+        seen = texts.select("host", F.explode(F.array_append("lines", F.lit(None).cast("bigint"))).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(1.0, min_share) * further_texts)
+        sizes = seen.where("line is null").select(F.col("host").alias("_host"), F.col("n").alias("_texts"))
+        common = seen.where("line is not null").join(sizes, F.col("host").eqNullSafe(F.col("_host"))).where(F.col("n") >= (F.col("_texts") + further_texts) * min_share)
+        common = common.select(F.col("_host").alias("_h"), F.col("line").alias("_l"), F.lit(True).alias("common"))
+        marked = marked.join(common, F.col("host").eqNullSafe(F.col("_h")) & (F.col("line") == F.col("_l")), "left").withColumn("common", F.coalesce("common", F.lit(False)) & (F.col("hole") == 0))
+    else:
+        marked = marked.withColumn("common", F.lit(False))
+    counts = ("found", "after", "other")
+    left = lambda c: F.sum(F.when(~F.col("common"), F.col(c)).otherwise(0))
+    sums = marked.groupBy("doc_id").agg(*[F.sum(c).alias(f"all_{c}") for c in counts], *[left(c).alias(c) for c in counts], F.max("hole").alias("hole"), F.count_if(~F.col("common")).alias("lines"))
+    sums = sums.select("doc_id", "hole", *[F.when(F.col("lines") > 0, F.col(c)).otherwise(F.col(f"all_{c}")).alias(c) for c in counts])
+    evidence = F.col("found") + F.col("after")
     consists = (F.col("found") > 0) & (evidence >= evidence_share * (evidence + F.col("other")))
-    return out.select("doc_id", evidence.alias("evidence"), "other", (F.col("hole") > 0).alias("placeholder"), (consists | (F.col("hole") > 0)).alias("excluded"))
+    return sums.select("doc_id", evidence.alias("evidence"), "other", (F.col("hole") > 0).alias("placeholder"), (consists | (F.col("hole") > 0)).alias("excluded"))
 
 
 def clean_documents(documents: DataFrame, *, host: str = "source") -> DataFrame:
