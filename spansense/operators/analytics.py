@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spansense.operators.components import connected_components, star_edges
+from spansense.runtime import checkpointed, skew_join
 
 
 def ratio(a: Column, b: Column, empty: float | None = None) -> Column:
@@ -101,8 +102,6 @@ def percentile_ranks(rows: DataFrame, column: str, qs: list[float], *, nearest:
 
     counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     counts = counts.repartitionByRange("value").withColumn("part", F.spark_partition_id())
-    from spansense.runtime import checkpointed
-
     counts = checkpointed(counts)  # a range's bounds are sampled: they must not be drawn twice
     parts = counts.groupBy("part").agg(F.sum("n").alias("m"))
     parts = parts.select("part", F.coalesce(F.sum("m").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("m").over(Window.partitionBy()).alias("total"))
@@ -152,8 +151,16 @@ def capture_scores(predicted: DataFrame, gold: DataFrame, columns: list[str]) ->
 
 
 def components_by_key(rows: DataFrame, node: str, keys: list[str]) -> DataFrame:
-    """``(node, root)`` of the nodes that share all ``keys`` with another, directly or over others."""
-    return connected_components(star_edges(rows.dropna(subset=keys), keys, node))
+    """``(node, root)`` of the nodes that share all ``keys`` with another, directly or over others.
+
+    Where every node has one key only, as a text's digest, its group is that of the key and needs no search.
+    """
+    members = checkpointed(rows.dropna(subset=[*keys, node]).select(*keys, F.col(node).alias("node")))
+    key = F.xxhash64(*keys)
+    if members.groupBy("node").agg(F.min(key).alias("a"), F.max(key).alias("b")).where("a <> b").isEmpty():
+        roots = members.groupBy(*keys).agg(F.min("node").alias("root"), F.max("node").alias("_last")).where("root < _last").drop("_last")
+        return skew_join(members, roots, keys).select("node", "root").distinct()
+    return connected_components(star_edges(members, keys, "node"))
 
 
 def is_short_palindrome(text: Column) -> Column:

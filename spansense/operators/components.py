@@ -2,63 +2,73 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spansense.runtime import checkpointed
-
+from spansense.runtime import checkpointed, skew_join
 
-#: Bits of the filter by which the members of shared keys are told before they are moved: 1 MB, whatever the input's size.
-FILTER_BITS = 23
+#: Edges of a label graph that one task solves: two columns of labels of some 20 bytes, 20 MB in all.
+SMALL_GRAPH = 500_000
 
 
-def shared_members(members: DataFrame, keys: list[str], node: str) -> DataFrame:
-    """The members whose key is shared by several nodes, and a few others.
+def star_edges(members: DataFrame, keys: list[str], node: str) -> DataFrame:
+    """Edges ``(src, dst)`` that connect all nodes sharing a key, without listing pairs.
 
-    The keys' smallest and largest nodes come from one pre-aggregated shuffle. The keys that differ in them set bits of a filter of fixed size, at most ``2**FILTER_BITS / 64``
-    rows, which is why it may be broadcast; members without their bit can't share. Where so many keys are shared that the filter fills up, it only lets more through.
+    ``members`` holds one row per (key, node), repeats allowed; rows with a null node are ignored. It is evaluated once and written to the checkpoint
+    folder. A key's smallest and largest node come from one aggregation that combines on the map side, whatever the key's share of the rows; every
+    node of a key where they differ is tied to its smallest. Keys with very many rows are looked up without moving their rows.
     """
-    h = F.xxhash64(*keys)
-    word = F.shiftright(F.pmod(h, F.lit(1 << FILTER_BITS)), 6).cast("int")
-    with_bit = lambda df: df.withColumns({"_w": word, "_h": h}).withColumn("_b", F.expr("shiftleft(1L, cast(pmod(_h, 64) as int))"))
-    ends = members.groupBy(*keys).agg(F.min(node).alias("_lo"), F.max(node).alias("_hi")).where("_lo < _hi")
-    bits = with_bit(ends).groupBy(F.col("_w").alias("_word")).agg(F.bit_or("_b").alias("_bits"))
-    marked = with_bit(members)
-    kept = marked.join(F.broadcast(bits), F.col("_w") == F.col("_word")).where(F.col("_bits").bitwiseAND(F.col("_b")) != 0)
-    return kept.select(*members.columns)
+    rows = checkpointed(members.where(F.col(node).isNotNull()).select(*keys, F.col(node).alias("_n")))
+    ends = rows.groupBy(*keys).agg(F.min("_n").alias("_root"), F.max("_n").alias("_last")).where("_root < _last").drop("_last")
+    ties = skew_join(rows, ends, keys, how="inner")
+    return ties.where("_n <> _root").select(F.col("_n").alias("src"), F.col("_root").alias("dst")).distinct()
 
 
-def star_edges(members: DataFrame, keys: list[str], node: str, *, salts: int = 64) -> DataFrame:
-    """Edges ``(src, dst)`` that connect all nodes sharing a key, without listing pairs.
+def _union(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The label that comes first, by string or number order, of each label's component in a graph that one task holds."""
+    parent: dict = {}
 
-    ``members`` holds one row per (key, node), repeats allowed; rows with a null node are ignored. The nodes of a key are cut into ``salts``
-    parts by hash; each part's smallest node is its hub and the smallest hub is the key's. So a key of n nodes gives under n + ``salts``
-    edges, its work is spread over ``salts`` partitions, and no node gets more than n / ``salts`` + ``salts`` edges from one key.
-    """
-    rows = shared_members(members.where(F.col(node).isNotNull()).select(*keys, F.col(node).alias("_n")), keys, "_n")
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_n"), F.lit(salts)).cast("int")).distinct()
-    hubs = rows.groupBy(*keys, "_salt").agg(F.min("_n").alias("_hub"), F.count(F.lit(1)).alias("_size"))
-    roots = hubs.groupBy(*keys).agg(F.min("_hub").alias("_root"), F.sum("_size").alias("_all")).where("_all > 1")
-    shared = hubs.join(roots, keys)
-    up = shared.where("_hub <> _root").select(F.col("_hub").alias("src"), F.col("_root").alias("dst"))
-    down = rows.join(shared.where("_size > 1").select(*keys, "_salt", "_hub"), [*keys, "_salt"]).where("_n <> _hub")
-    return up.unionByName(down.select(F.col("_n").alias("src"), F.col("_hub").alias("dst"))).distinct()
+    def root(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
 
+    for pdf in batches:
+        for a, b in zip(pdf["src"].tolist(), pdf["dst"].tolist()):
+            parent.setdefault(a, a)
+            parent.setdefault(b, b)
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    if parent:
+        yield pd.DataFrame({"label": list(parent), "nxt": [root(x) for x in parent]})
 
-def connected_components(edges: DataFrame, *, hops: int = 2, max_levels: int = 60) -> DataFrame:
+
+def connected_components(edges: DataFrame, *, hops: int = 2, max_levels: int = 60, small_graph: int = SMALL_GRAPH) -> DataFrame:
     """``(node, root)`` for every node of ``edges (src, dst)``; ``root`` is the smallest node of its component.
 
     Each level hash-partitions the adjacency, takes as seeds all nodes that come first in their neighbourhood by a fixed hash order,
     expands all seeds at once for ``hops`` frontier steps (a node reached by several seeds keeps the first), and turns every edge between two labels
-    into an edge of a smaller graph of labels, on which the next level works. Nodes that no frontier reached stay their own label. Every level
-    at least merges each seed's neighbours, so the number of levels grows with the logarithm of the component size. Nothing is collected;
-    each level's graph is written to the checkpoint folder. Null ends and loops are ignored; no edges give no rows.
+    into an edge of a smaller graph of labels. A label graph of up to ``small_graph`` edges is merged in one task, a larger one by the next level. Nodes that no
+    frontier reached stay their own label. Every level at least merges each seed's neighbours, so the number of levels grows with the logarithm of the
+    component size. Nothing is collected; each level's graph is written to the checkpoint folder, and nodes with very many edges and labels of very many nodes are
+    looked up without moving their rows. Null ends and loops are ignored; no edges give no rows.
     """
     e = edges.where("src is not null and dst is not null and src <> dst").select("src", "dst")
     e = checkpointed(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     found: DataFrame | None = None
-    for _ in range(max_levels):
-        if e.isEmpty():
+    for level in range(max_levels):
+        left = e.count()
+        if not left:
+            break
+        if level and left <= small_graph:
+            kind = e.schema["src"].dataType.simpleString()
+            merged = e.where("src < dst").repartition(1).mapInPandas(_union, f"label {kind}, nxt {kind}")
+            found = _relabel(found, merged)  # type: ignore[arg-type]
             break
         order = F.struct(F.xxhash64("dst").alias("h"), F.col("dst").alias("n"))
         near = e.groupBy("src").agg(F.min(order).alias("m"))
@@ -66,20 +76,22 @@ def connected_components(edges: DataFrame, *, hops: int = 2, max_levels: int = 6
         labels = near.select(F.col("src").alias("node"), F.when(own < F.col("m"), own).alias("label"))
         for _ in range(hops):
             frontier = labels.where("label is not null").select(F.col("node").alias("dst"), F.col("label").alias("reached"))
-            reached = e.join(frontier, "dst").groupBy(F.col("src").alias("node")).agg(F.min("reached").alias("reached"))
+            reached = skew_join(e, frontier, ["dst"], how="inner", rows=left).groupBy(F.col("src").alias("node")).agg(F.min("reached").alias("reached"))
             labels = labels.join(reached, "node", "left").select("node", F.coalesce("label", "reached").alias("label"))
         labels = checkpointed(labels.select("node", F.coalesce(F.col("label.n"), F.col("node")).alias("label")))
-        if found is None:
-            found = labels
-        else:
-            nxt = labels.select(F.col("node").alias("label"), F.col("label").alias("nxt"))
-            found = checkpointed(found.join(nxt, "label", "left").select("node", F.coalesce("nxt", "label").alias("label")))
+        found = labels if found is None else _relabel(found, labels.select(F.col("node").alias("label"), F.col("label").alias("nxt")))
         a = labels.select(F.col("node").alias("src"), F.col("label").alias("a"))
         b = labels.select(F.col("node").alias("dst"), F.col("label").alias("b"))
-        e = checkpointed(e.join(a, "src").join(b, "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+        both = skew_join(skew_join(e, a, ["src"], how="inner", rows=left), b, ["dst"], how="inner", rows=left)
+        e = checkpointed(both.where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
     else:
         raise RuntimeError(f"components did not settle within {max_levels} levels")
     if found is None:
         return e.select(F.col("src").alias("node"), F.col("dst").alias("root"))
     smallest = found.groupBy("label").agg(F.min("node").alias("root"))
-    return found.join(smallest, "label").select("node", "root")
+    return skew_join(found, smallest, ["label"], how="inner").select("node", "root")
+
+
+def _relabel(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """``found (node, label)`` with each label replaced by its ``nxt`` where it has one."""
+    return checkpointed(skew_join(found, labels, ["label"], how="left").select("node", F.coalesce("nxt", "label").alias("label")))

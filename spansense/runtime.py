@@ -7,12 +7,19 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spansense.errors import ConfigError
+
+#: Rows from which on a join looks for hot keys, and how many times an even share of a task's rows makes a key hot.
+HOT_ROWS, HOT_SHARE = 2_000_000, 2
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the session's ``spark.checkpoint.dir`` if it names one, else a fresh local one (tests)."""
+    """The folder for checkpoints: the session's ``spark.checkpoint.dir``. Only in local mode, for tests, one is made where that is unset; on a cluster it is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ConfigError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spansense-checkpoint-"))
     return sc.getCheckpointDir() or named or ""
 
@@ -54,6 +61,24 @@ def running_total(
     return joined.withColumn(before, F.col("_base") + F.coalesce(F.sum(value).over(inner), F.lit(0))).drop("_bucket", "_base")
 
 
+def skew_join(big: DataFrame, small: DataFrame, on: list[str], *, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """``big`` joined (``inner`` or ``left``) to ``small``, which has at most one row per key of ``on``, without moving the rows of hot keys.
+
+    A key is hot if it has more than ``HOT_SHARE`` times an even share of a task's rows; there can be fewer of these than tasks, which bounds what is broadcast:
+    the rows of ``small`` with hot keys. All others are joined by shuffling. Below ``HOT_ROWS`` rows of ``big`` no key can be much for a task and one plain join does;
+    the result is the same. ``big`` is read twice, so it should be a stored table. Null keys match nothing.
+    """
+    n = big.count() if rows is None else rows
+    if n < HOT_ROWS:
+        return big.join(small, on, how)
+    share = HOT_SHARE * n / wide(big.sparkSession)
+    hot = checkpointed(big.groupBy(*on).agg(F.count(F.lit(1)).alias("_hot")).where(F.col("_hot") > share).select(*on, F.lit(True).alias("_hot")))
+    marked = big.join(F.broadcast(hot), on, "left")
+    matches = F.broadcast(small.join(F.broadcast(hot.drop("_hot")), on, "left_semi"))
+    few = marked.where("_hot").drop("_hot").join(matches, on, how)
+    return marked.where("_hot is null").drop("_hot").join(small, on, how).unionByName(few)
+
+
 def wide(spark: SparkSession) -> int:
     """Partitions for work that is heavy for its bytes: the session's shuffle partitions, but three tasks a core at least."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)

@@ -4,12 +4,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from spansense import runtime
 from spansense.operators import analytics as A
 from spansense.operators.components import connected_components, star_edges
 from spansense.runtime import running_total
 
 
-def test_components_match_union_find(spark):
+def test_components_match_union_find(spark, monkeypatch):
     rng = random.Random(3)
     members = [(f"k{rng.randrange(400)}", f"n{rng.randrange(300):03d}") for _ in range(420)] + [("hot", f"n{i:03d}") for i in range(0, 300, 7)] + [("one", None), ("chain", "z1")]
     members += [(f"c{i}", f"p{j:03d}") for i in range(200) for j in (i, i + 1)]  # a path of 201 nodes
@@ -31,8 +32,22 @@ def test_components_match_union_find(spark):
         groups.setdefault(find(n), []).append(n)
     want = {(n, r) for r, ns in groups.items() if len(ns) > 1 for n in ns}
     df = spark.createDataFrame(members, "k string, n string")
-    for salts in (1, 4):
-        assert {tuple(r) for r in connected_components(star_edges(df, ["k"], "n", salts=salts)).collect()} == want
+    # with the label graphs merged in one task or level by level, and with hot keys looked up apart
+    for small_graph, hot_rows in ((500_000, 10**9), (0, 10**9), (50, 1)):
+        monkeypatch.setattr(runtime, "HOT_ROWS", hot_rows)
+        assert {tuple(r) for r in connected_components(star_edges(df, ["k"], "n"), small_graph=small_graph).collect()} == want
+    texts = [(i, k) for i, k in enumerate("aabbbcde")] + [(20, None)]
+    groups = A.components_by_key(spark.createDataFrame(texts, "id int, text string"), "id", ["text"])
+    assert sorted(map(tuple, groups.collect())) == [(0, 0), (1, 0), (2, 2), (3, 2), (4, 2)]
+
+
+def test_skew_join_gives_the_plain_join(spark, monkeypatch):
+    big = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i % 40}", i) for i in range(600)] + [(None, -1)], "k string, i int")
+    small = spark.createDataFrame([("hot", "h")] + [(f"k{i}", str(i)) for i in range(0, 30, 2)], "k string, v string")
+    for how in ("inner", "left"):
+        want = sorted(map(str, big.join(small, "k", how).collect()))
+        monkeypatch.setattr(runtime, "HOT_ROWS", 1)
+        assert sorted(map(str, runtime.skew_join(big, small, ["k"], how=how).select("k", "i", "v").collect())) == want
 
 
 def test_no_edges_give_no_components(spark):
