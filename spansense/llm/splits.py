@@ -17,16 +17,16 @@ SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 
 
 def _key(kind: str, *parts: Column) -> Column:
-    """Two independent 64-bit hashes of a key: together wide enough that no two keys of a corpus meet."""
-    return F.struct(F.xxhash64(F.lit(kind), *parts).alias("k1"), F.xxhash64(F.lit("second"), F.lit(kind), *parts).alias("k2"))
+    """Hashes of 64 and 32 bits of a key: together wide enough that no two of 10**11 keys are likely to meet."""
+    return F.struct(F.xxhash64(F.lit(kind), *parts).alias("k1"), F.hash(F.lit(kind), *parts).alias("k2"))
 
 
-def ticket_ties(messages: DataFrame, roles: DataFrame, *, salts: int = 64) -> DataFrame:
+def ticket_ties(messages: DataFrame, roles: DataFrame) -> DataFrame:
     """Edges ``(src, dst)`` between tickets that share a message, a customer or a source message.
 
     A shared message is an equal ``id``; a shared customer an equal account of customer rows, case, blanks and punctuation aside; a shared source
     message rows of one customer or agent account with the same time and the same text, white space and case aside, that isn't blank. Nulls and
-    accounts without letters or digits tie nothing. The edges of a key form a two-level star, so a key with any share of the rows gives no pairs.
+    accounts without letters or digits tie nothing. The keys of a row are worked out once; the edges of a key form a star, so a key with any share of the rows gives no pairs.
     """
     rows = with_speaker(messages.where("ticket_id is not null"), roles)
     account, time = account_name(F.col("source_speaker")), message_time()
@@ -38,7 +38,7 @@ def ticket_ties(messages: DataFrame, roles: DataFrame, *, salts: int = 64) -> Da
         F.when(person & time.isNotNull() & has_text(F.col("text")), _key("source", account, time, bare)),
     )
     members = rows.select("ticket_id", F.explode(F.filter(keys, lambda k: k.isNotNull())).alias("k")).select("k.*", "ticket_id")
-    return star_edges(members, ["k1", "k2"], "ticket_id", salts=salts)
+    return star_edges(members, ["k1", "k2"], "ticket_id")
 
 
 def ticket_groups(messages: DataFrame, roles: DataFrame) -> DataFrame:
