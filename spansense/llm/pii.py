@@ -1,16 +1,15 @@
 """Problem 4: personal spans in free text, and their typed, format-preserving placeholders.
 
-E-mail addresses, phone numbers, identity numbers and street addresses are found by their formats; names by a lexicon of given and family
+E-mail addresses, phone numbers, identity numbers, street addresses and dates of birth are found by their formats; names by a lexicon of given and family
 names that is fitted on a bounded sample of reviewed rows, and by the cues around them where the lexicon doesn't know a word. What belongs to an
-organisation is told by shared-mailbox names and by the words before a number or address. Phone and identity
-numbers are permuted within their format by a keyed Feistel network, so that values written alike get equal placeholders in every document.
+organisation is told by shared-mailbox names and by the words of the clause before a number or address. Numbers and dates are read into a canonical value, which a keyed Feistel network
+permutes among the values that are as valid, and written again in the format they had (``llm/pseudonyms.py``): so equal values stay linked across documents, however they are written.
 """
 
 from __future__ import annotations
 
-import hashlib
-import hmac
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,15 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spansense.llm.pseudonyms import Feistel, placeholder
 from spansense.runtime import spread
 
 #: Reviewed rows that the name lexicon is fitted on, at most; they are those with the smallest hash of their id.
 FIT_ROWS = 20_000
 
-#: So many bits keep the pseudonyms of a billion values apart but for a chance of 1 in 10**11.
-PSEUDONYM_BITS = 96
-
 KINDS = ("email", "phone", "id_number", "address", "name")
+#: What is replaced besides: a date of birth is told by the word before it.
+BIRTH = "date"
 
 # Words of shared mailboxes.
 ROLE_WORDS = frozenset(
@@ -36,20 +35,20 @@ ROLE_WORDS = frozenset(
     "privacy purchasing reception recruiting refunds reply repairs reservations returns root sales security service services servicio shipping shop spam staff store studio subscribe "
     "support talent team tech unsubscribe vendas ventas warranty web webmaster welcome".split()
 )
-# Words that tell that a number or address is an organisation's, in the clause before it.
+# Words that tell that a number or address is an organisation's, where they stand before it in its sentence (or end the line before).
 ORG_LINE = re.compile(
     r"(?:switchboard|front desk|reception|main line|main number|hotline|helpline|service line|call cent(?:re|er)|customer (?:service|care)|help ?desk|head ?office|headquarters|zentrale|kundendienst|"
-    r"standard(?: téléphonique)?|accueil|centralita|atención al cliente|office line|shop'?s line|toll[- ]?free|desk at|our (?:line|number|phone))[^.!?\n]{0,40}$",
+    r"standard(?: téléphonique)?|accueil|centralita|atención al cliente|office line|shop'?s line|toll[- ]?free|desk at|our (?:line|number|phone))",
     re.I,
 )
 ORG_PLACE = re.compile(
     r"(?:(?:our|the|unsere?|notre|nuestr[oa]) (?:\w+[ -]){0,3}(?:depot|showroom|warehouse|office|store|shop|branch|headquarters|head office|workshop|factory|premises|lab|laden|lager|filiale|zentrale|magasin|entrepôt|siège|tienda|almacén|oficina|sede)"
-    r"|(?:depot|showroom|warehouse|headquarters|head office))\b[^.!?\n]{0,24}$",
+    r"|(?:depot|showroom|warehouse|headquarters|head office))\b",
     re.I,
 )
 NEW_ONE = re.compile(r"one +(?=\S+ +\S)", re.I)
 COUNTED = re.compile(r"\b(?:new|old|other|second|first|this|that|last|next|current|former) $", re.I)
-TEAM_LINE = re.compile(r"(?:\bteam|\bcrew|équipe|equipo)[^\S\n]*\n[^\n]*$", re.I)
+TEAM_LINE = re.compile(r"(?:\bteam|\bcrew|équipe|equipo)[^\S\n]*\n", re.I)
 
 # Street types by language, street prefixes and number words.
 EN_STREET = "street|str|st|road|rd|avenue|ave|lane|ln|row|way|close|court|ct|terrace|quay|boulevard|blvd|drive|dr|place|pl|square|sq|crescent|gardens|grove|hill|mews|parade|walk|wharf|alley|path|rise|highway|hwy|parkway|pkwy"
@@ -159,79 +158,219 @@ def fit_lexicon(golds: list[list[str]]) -> Lexicon:
     return Lexicon(frozenset(given), frozenset(family))
 
 
+_TOKEN = re.compile(r"[^\W\d_][\w'’\-]*")
+_GAP = re.compile(r"[^\S\n]+")
+_DOTTED = re.compile(r"\.(?:[^\S\n]?[^\W\d_]\.)?[^\S\n]*")
+_CAPITAL = re.compile(r"[A-ZÀ-ÖØ-Þ][a-zß-ÿ'’]+(?:-[A-ZÀ-ÖØ-Þ][a-zß-ÿ]+)?")
+_TITLE_WORDS = frozenset(TITLES.split("|"))
+_PARTICLE_WORDS = frozenset(PARTICLES.split("|"))
+_BIRTH_DATE = re.compile(
+    r"(?:\bborn(?: on)?|\bdate of birth|\bbirth ?(?:date|day)|\bd\.?o\.?b\.?|\bgeboren(?: am)?|\bgeburtsdatum|\bgeb\.|\bnée? le|\bdate de naissance|\bnacid[oa] el|\bfecha de nacimiento|\bnascid[oa] em|\burodzon[ya])[^\S\n]*(?:is|ist|est|es|:|,)?[^\S\n]*"
+    r"(?P<date>\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[./-]\d{1,2}[./-]\d{4})(?!\w|[-/.]\d)",
+    re.I,
+)
+_STREET_WORDS = frozenset(re.sub(r"[^\w|]", "", f"{EN_STREET}|{FR_STREET}|{DE_STREET}|{ES_STREET}|c|p|pº|am|an|auf|im|in|zum|zur|unter|hinter|beim|vor").split("|"))
+_STREET_ENDS = ("straße", "strasse", "str", "weg", "platz", "allee", "gasse", "ufer", "damm", "ring", "steig", "stieg", "graben", "zeile", "grund", "chaussee", "brücke", "winkel", "pfad")
+_PLACE_CODE = re.compile(r", \d{5} ")
+_CUE_WORDS = frozenset("name nombre nom this hier ich soy je c est c'est c’est my i deliver regards best thanks cheers sincerely yours grüße saludos cordialement".split())
+_NUMBER_WORDS = frozenset(DIGIT_WORDS.split("|"))
+
+
+class _Before:
+    """Whether a cue stands before a place of a text with none of the ``stops`` between: the text is searched once, when first asked."""
+
+    def __init__(self, cue: re.Pattern[str], text: str, stops: str) -> None:
+        self.cue, self.text, self.stop_marks, self.ends, self.stops = cue, text, stops, None, []  # type: ignore[var-annotated]
+
+    def holds(self, at: int) -> bool:
+        if self.ends is None:
+            self.ends = [m.end() for m in self.cue.finditer(self.text)]
+            self.stops = [i for i, c in enumerate(self.text) if c in self.stop_marks] if self.ends else []
+        i = bisect_right(self.ends, at) - 1
+        if i < 0:
+            return False
+        j = bisect_left(self.stops, self.ends[i])
+        return j == len(self.stops) or self.stops[j] >= at
+
+
 class Finder:
-    """Finds the personal spans of a text: ``(start, end, kind)`` by code points, in order and without overlaps."""
+    """Finds the personal spans of a text: ``(start, end, kind)`` by code points, in order and without overlaps.
+
+    A text is cut into words once; names are looked up in the lexicon's sets, and the patterns of a kind are searched only in texts with what all of them need.
+    """
 
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon = lexicon
-        alt = lambda words: "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
-        self.name = None
-        if lexicon.family:
-            fam, giv = alt(lexicon.family), alt(lexicon.given) or r"(?!)"
-            common = alt(NOT_NAMES)
-            join, part = r"[^\S\n]+", rf"(?:(?:{PARTICLES})[^\S\n]+)?"
-            self.name = re.compile(
-                rf"(?<![\w@.\-])(?:(?P<title>(?:{TITLES})\.?[^\S\n]+)?(?:"
-                rf"(?P<full>(?:{giv})(?:{join}(?:{giv}|[^\W\d_]\.)){{0,2}}{join}{part}(?:{fam}))"
-                rf"|(?P<initial>[^\W\d_]\.(?:[^\S\n]?[^\W\d_]\.)?[^\S\n]*{part}(?:{fam}))"
-                rf"|(?P<turned>(?:{fam}),[^\S\n]+(?:{giv}|[^\W\d_]\.))"
-                rf"|(?P<half>(?:{giv})(?:{join}[^\W\d_]\.)?{join}{part}(?!(?:{common})\b)(?-i:[A-ZÀ-ÖØ-Þ][a-zß-ÿ'’]+(?:-[A-ZÀ-ÖØ-Þ][a-zß-ÿ]+)?))"
-                rf"|(?P<lone>{part}(?:{fam})))"
-                rf"|(?P<unknown>(?!(?:{common})\b)(?-i:[A-ZÀ-ÖØ-Þ][a-zß-ÿ'’]+){join}{part}(?:{fam})))(?![\w\-@])",
-                re.I,
-            )
-
-    def spans(self, text: str | None) -> list[tuple[int, int, str]]:
-        """The spans of ``text``; none for null or blank texts."""
+
+    def spans(self, text: str | None, births: bool = False) -> list[tuple[int, int, str]]:
+        """The spans of ``text``, with ``births`` dates of birth as well; none for null or blank texts."""
         if not text or not text.strip():
             return []
-        taken: list[tuple[int, int]] = []
+        low = text.lower()
+        words = set(_TOKEN.findall(low))
+        digits = re.search(r"\d", text) is not None
+        taken = bytearray(len(text))
         found: list[tuple[int, int, str]] = []
 
         def free(a: int, b: int) -> bool:
-            return all(b <= x or y <= a for x, y in taken)
-
-        for m in EMAIL.finditer(text):
-            taken.append(m.span())
-            if not mailbox_is_shared(m.group()):
-                found.append((*m.span(), "email"))
-        for m in ADDRESS.finditer(text):
-            a, b = m.span()
-            if free(a, b):
-                tail = _CITY.match(text, b)
-                b = tail.end() if tail and free(a, tail.end()) else b
-                taken.append((a, b))
-                if not ORG_PLACE.search(text[max(0, a - 80) : a]):
-                    found.append((a, b, "address"))
-        for rx, kind in ((ID_NUMBER, "id_number"), (PHONE, "phone")):
+            return not any(taken[a:b])
+
+        def take(a: int, b: int, kind: str | None) -> None:
+            taken[a:b] = b"\1" * (b - a)
+            if kind:
+                found.append((a, b, kind))
+
+        line, place, team = _Before(ORG_LINE, text, ".!?\n"), _Before(ORG_PLACE, text, ".!?\n"), _Before(TEAM_LINE, text, "\n")
+        if "@" in text or "＠" in text or "at" in words:
+            for m in EMAIL.finditer(text):
+                take(*m.span(), None if mailbox_is_shared(m.group()) else "email")
+        if digits and (not _STREET_WORDS.isdisjoint(words) or any(w.endswith(_STREET_ENDS) for w in words) or _PLACE_CODE.search(text)):
+            for m in ADDRESS.finditer(text):
+                a, b = m.span()
+                if free(a, b):
+                    tail = _CITY.match(text, b)
+                    b = tail.end() if tail and free(a, tail.end()) else b
+                    take(a, b, None if place.holds(a) else "address")
+        if births and digits:
+            for m in _BIRTH_DATE.finditer(text):
+                if free(*m.span("date")):
+                    take(*m.span("date"), BIRTH)
+        spoken = not _NUMBER_WORDS.isdisjoint(words)
+        for rx, kind in ((ID_NUMBER, "id_number"), (PHONE, "phone")) if digits else ((PHONE, "phone"),) if spoken else ():
             for m in rx.finditer(text):
                 a, b = m.span()
-                if kind == "phone" and (one := NEW_ONE.match(m.group())) and COUNTED.search(text[max(0, a - 12) : a]):
+                if kind == "phone" and (one := NEW_ONE.match(m.group())) and COUNTED.search(text, max(0, a - 10), a):
                     a += one.end()  # "my new one" is followed by the number
                 if free(a, b):
-                    taken.append((a, b))
-                    before = text[max(0, a - 120) : a]
-                    if kind == "phone" and (ORG_LINE.search(before) or TEAM_LINE.search(before)):
-                        continue
-                    found.append((a, b, kind))
-        if self.name is not None:
-            at = 0
-            while m := self.name.search(text, at):
-                which = next(g for g in ("full", "initial", "turned", "half", "lone", "unknown") if m.group(g) is not None)
-                a, b = m.span(which)
-                if (which == "lone" and not m.group("title")) or not free(a, b):
-                    at = m.start() + 1
-                    continue
-                at = b
-                taken.append((a, b))
-                found.append((a, b, "name"))
-        for cue in NAME_CUE.finditer(text):
+                    take(a, b, None if kind == "phone" and (line.holds(a) or team.holds(a)) else kind)
+        if not self.lexicon.family.isdisjoint(words) or not self.lexicon.given.isdisjoint(words) or "'" in text or "’" in text:
+            self._names(text, free, take)
+        for cue in NAME_CUE.finditer(text) if not _CUE_WORDS.isdisjoint(words) or "--" in text else ():
             m = NAMEISH.match(text, cue.end())
             if m and free(*m.span(1)) and not ORG_NAME.search(m.group(1)) and m.group(1).split()[0].lower() not in NOT_NAMES:
-                taken.append(m.span(1))
-                found.append((*m.span(1), "name"))
+                take(*m.span(1), "name")
         return sorted(found)
 
+    def _names(self, text: str, free, take) -> None:
+        """Takes the names that the lexicon tells. Of the forms that start at a word the first of these that fits is taken: a given and a family name with initials between them, an initial and a
+        family name, the family name first, a known given name before a capitalised word, a title and a family name, a capitalised word before a known family name."""
+        tokens = [(m.start(), m.end(), m.group()) for m in _TOKEN.finditer(text)]
+        given, family = self.lexicon.given, self.lexicon.family
+        quoted = "'" in text or "’" in text
+        lows = [t.lower() for _, _, t in tokens]
+        n = len(tokens)
+
+        def known(i: int, names: frozenset[str]) -> int | None:
+            """The end of token ``i`` if it is such a name, also before an apostrophe."""
+            if i >= n:
+                return None
+            if lows[i] in names:
+                return tokens[i][1]
+            for mark in "'’" if quoted else ():
+                cut = lows[i].find(mark)
+                if cut > 0 and lows[i][:cut] in names:
+                    return tokens[i][0] + cut
+            return None
+
+        def ends(at: int) -> bool:
+            return at >= len(text) or not (text[at].isalnum() or text[at] in "_-@")
+
+        def next_to(i: int, end: int) -> bool:
+            """Whether token ``i`` follows ``end`` after blanks."""
+            return i < n and tokens[i][0] > end and (m := _GAP.match(text, end)) is not None and m.end() == tokens[i][0]
+
+        def after_particle(i: int) -> list[int]:
+            """Where a name may start at token ``i``: behind a particle of one or two words, or at once."""
+            out = []
+            if i + 1 < n and f"{lows[i]} {lows[i + 1]}" in _PARTICLE_WORDS and next_to(i + 1, tokens[i][1]) and next_to(i + 2, tokens[i + 1][1]):
+                out.append(i + 2)
+            if i < n and lows[i] in _PARTICLE_WORDS and next_to(i + 1, tokens[i][1]):
+                out.append(i + 1)
+            return [*out, i]
+
+        def family_at(i: int) -> tuple[int, int] | None:
+            """The end of a family name at token ``i``, particle and all, and the token after it."""
+            for k in after_particle(i):
+                end = known(k, family)
+                if end is not None and ends(end):
+                    return end, k + 1
+            return None
+
+        def initial(i: int) -> int | None:
+            """The end of an initial with its full stop at token ``i``."""
+            if i < n and tokens[i][1] - tokens[i][0] == 1 and text[tokens[i][1] : tokens[i][1] + 1] == ".":
+                return tokens[i][1] + 1
+            return None
+
+        def capital(i: int) -> int | None:
+            if i < n and lows[i] not in NOT_NAMES and (m := _CAPITAL.match(tokens[i][2])) is not None and ends(tokens[i][0] + m.end()):
+                return tokens[i][0] + m.end()
+            return None
+
+        def form(i: int, titled: bool) -> tuple[int, int, int, bool] | None:
+            """``(start, end, next token, whether it may stand alone)`` of the form that starts at token ``i``."""
+            start = tokens[i][0]
+            if (end := known(i, given)) is not None:
+                steps = [(end, i + 1)]
+                while len(steps) < 3:
+                    at, k = steps[-1]
+                    more = None
+                    if next_to(k, at):
+                        more = known(k, given)
+                        more = initial(k) if more is None else more
+                    if more is None:
+                        break
+                    steps.append((more, k + 1))
+                for at, k in reversed(steps):
+                    if next_to(k, at) and (f := family_at(k)):
+                        return start, f[0], f[1], True
+            if (end := initial(i)) is not None:
+                m = _DOTTED.match(text, end - 1)
+                k = next((k for k in range(i + 1, min(i + 3, n)) if tokens[k][0] == m.end()), None)  # type: ignore[union-attr]
+                if k is not None and (f := family_at(k)):
+                    return start, f[0], f[1], True
+            if (end := known(i, family)) is not None and text[end : end + 1] == "," and next_to(i + 1, end + 1):
+                other = known(i + 1, given)
+                other = initial(i + 1) if other is None else other
+                if other is not None and ends(other):
+                    return start, other, i + 2, True
+            if (end := known(i, given)) is not None:
+                steps = [(end, i + 1)]
+                if next_to(i + 1, end) and (dot := initial(i + 1)) is not None:
+                    steps.append((dot, i + 2))
+                for at, k in reversed(steps):
+                    if next_to(k, at):
+                        for q in after_particle(k):
+                            if (c := capital(q)) is not None:
+                                return start, c, q + 1, True
+            if titled and (f := family_at(i)):
+                return start, f[0], f[1], True
+            if not titled and (c := capital(i)) is not None and next_to(i + 1, c) and (f := family_at(i + 1)):
+                return start, f[0], f[1], True
+            return None
+
+        near = {j for k in range(n) if known(k, family) is not None or known(k, given) is not None for j in range(k - 6, k + 1)}
+        i = 0
+        while i < n:
+            start, stop, _ = tokens[i]
+            if i not in near:
+                i += 1
+                continue
+            if start and (text[start - 1].isalnum() or text[start - 1] in "_@.-"):
+                i += 1
+                continue
+            hit = None
+            if lows[i] in _TITLE_WORDS:
+                behind = stop + (text[stop : stop + 1] == ".")
+                if next_to(i + 1, behind):
+                    hit = form(i + 1, True)
+            hit = hit or form(i, False)
+            if hit and free(hit[0], hit[1]):
+                take(hit[0], hit[1], "name")
+                i = max(hit[2], i + 1)
+            else:
+                i += 1
+
 
 # Capitalised words that start a clause before a name, and words that make a name an organisation's, a product's or a place's.
 NOT_NAMES = frozenset(
@@ -244,70 +383,6 @@ ORG_NAME = re.compile(r"\b(?:bank|insurance|couriers?|lockers|outlet|foods|repai
 # --- placeholders -------------------------------------------------------------------------------------------------------------------------
 
 
-class Feistel:
-    """A keyed permutation of the numbers below ``n``: an unbalanced Feistel network over two digits of a mixed radix, with cycle walking."""
-
-    def __init__(self, key: bytes, rounds: int = 8) -> None:
-        self.key, self.rounds = key, rounds
-
-    def _f(self, r: int, tweak: str, half: int, modulus: int) -> int:
-        digest = hmac.new(self.key, f"{r}|{tweak}|{modulus}|{half}".encode(), hashlib.sha256).digest()
-        return int.from_bytes(digest[:16], "big") % modulus
-
-    def _once(self, x: int, n: int, tweak: str, forward: bool) -> int:
-        b = int(n**0.5) + 1
-        left, right = divmod(x, b)
-        steps = range(self.rounds) if forward else range(self.rounds - 1, -1, -1)
-        for r in steps:
-            shift = self._f(r, tweak, right if r % 2 == 0 else left, b)
-            shift = shift if forward else -shift
-            if r % 2 == 0:
-                left = (left + shift) % b
-            else:
-                right = (right + shift) % b
-        return left * b + right
-
-    def permute(self, x: int, n: int, tweak: str = "", forward: bool = True) -> int:
-        """The image of ``x`` among 0 ... n - 1; with ``forward`` false the number whose image ``x`` is."""
-        if n < 2:
-            return x
-        while True:
-            x = self._once(x, n, tweak, forward)
-            if x < n:
-                return x
-
-    def text(self, value: str, tweak: str = "", forward: bool = True) -> str:
-        """``value`` with its digits permuted among the numbers of as many digits and its ASCII letters among the words of as many letters.
-
-        Everything else, and the case of each letter, stays. The permutation is keyed by the format, so equal formats stay comparable.
-        """
-        shape = re.sub(r"[A-Za-z]", "a", re.sub(r"[0-9]", "0", value))
-        digits, letters = re.findall(r"[0-9]", value), re.findall(r"[A-Za-z]", value)
-        if digits:
-            digits = list(str(self.permute(int("".join(digits)), 10 ** len(digits), f"{tweak}|{shape}|0", forward)).zfill(len(digits)))
-        if letters:
-            x = 0
-            for c in letters:
-                x = x * 26 + ord(c.lower()) - 97
-            x = self.permute(x, 26 ** len(letters), f"{tweak}|{shape}|a", forward)
-            new = []
-            for _ in letters:
-                x, c = divmod(x, 26)
-                new.append(chr(97 + c))
-            letters = [n.upper() if o.isupper() else n for o, n in zip(letters, reversed(new))]
-        d, a = iter(digits), iter(letters)
-        return "".join(next(d) if "0" <= c <= "9" else next(a) if c.isascii() and c.isalpha() else c for c in value)
-
-
-def placeholder(kind: str, value: str, cipher: Feistel) -> str:
-    """``[kind pseudonym]``: numbers keep their format; of the other kinds the pseudonym is the first ``PSEUDONYM_BITS`` of a keyed digest in hexadecimal."""
-    if kind in ("phone", "id_number") and re.search(r"[0-9]", value):
-        return f"[{kind} {cipher.text(value, kind)}]"
-    plain = " ".join(value.lower().split())
-    digest = hmac.new(cipher.key, f"{kind}|{plain}".encode(), hashlib.sha256).digest()
-    return f"[{kind} {digest[: PSEUDONYM_BITS // 8].hex()}]"
-
-
 def redact(text: str | None, spans: list[tuple[int, int, str]], cipher: Feistel) -> str | None:
     """``text`` with each span replaced by its placeholder; everything between the spans stays as it is."""
     if text is None:
@@ -345,13 +420,13 @@ def personal_spans(contacts: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def redacted(contacts: DataFrame, lexicon: Lexicon, key: str) -> DataFrame:
-    """``(id, text, spans)``: the texts with typed placeholders and the number of spans replaced; null texts stay null."""
+    """``(id, text, spans)``: the texts with typed placeholders and the number of spans replaced, dates of birth among them; null texts stay null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder, cipher = Finder(lexicon), Feistel(key.encode())
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            spans = [finder.spans(t) for t in texts]
+            spans = [finder.spans(t, births=True) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([redact(t, s, cipher) for t, s in zip(texts, spans)], pa.string()), pa.array([len(s) for s in spans], pa.int32())], ["id", "text", "spans"]
             )
