@@ -130,18 +130,20 @@ _KEYS = re.compile(r"^(?:asdf|jkl|qwer|qwerty|hjkl|zxcv|uiop|fdsa|dfgh|blah|bla|
 # derived from the patterns, so that a text without them holds no match
 HOLE_CUES = Cues(PLACEHOLDER, FAILED)
 _SCRIPT_MARKS = ("script", "skript", "js", "cookie", "browser", "navegador", "navigateur", "przeglądark", "ブラウザ", "クッキー")
-_MACHINE_MARKS = ("error", "exception", "traceback", "errno", "fatal", "oops", "rate limit", "did not work", "erreur", "fehler", "erro", "błąd", "status", "code", "código", "http", 'file "', "return ")
-_MACHINE_SIGNS = re.compile(r"(?<!\d)[45]\d\d(?!\d)|/\d|\(\w+\.\w+:\d")
+_MACHINE_MARKS = ("error", "exception", "traceback", "errno", "fatal", "oops", "rate limit", "did not work", 'file "')
+_MACHINE_SIGNS = re.compile(r"(?<!\d)[45]\d\d(?!\d)|/\d|\(\w+\.\w+:\d|\[\w+\]$", re.M)
 _SENTENCE = re.compile(r"[^\n]*?(?:[.!?](?=\s|$)|[。！？]|\n|$)", re.S)
 _SPACES = re.compile(r"[^\S\n]+")
 _DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[^\W\d_]+|\d+")
 _SPOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _NAVIGATION = re.compile(r"^[^\W\d][\w()]*(?: \w+)?(?:(?: ?[|·•»>/] ?|[^\S\n]{2,})[^\W\d][\w()]*(?: [\w()]+)?)+$")
+# Words of which one stands in every piece of filler; the common ones count in these runs only.
 _FILL_WORDS = frozenset(
-    "lorem dummy filler sample placeholder replace change your text demo platzhalter platzhaltertext blindtext beispieltext hier texte exemple faux remplissage texto relleno ejemplo exemplo marcador testo prova tekst zastępczy przykładowy "
-    "todo publish article goes here written tbd tbc title subtitle body".split()
+    "lorem dummy filler sample placeholder text demo platzhalter platzhaltertext blindtext beispieltext texte exemple faux remplissage texto relleno ejemplo exemplo marcador testo prova tekst zastępczy przykładowy "
+    "todo article here written tbd tbc title subtitle body".split()
 )
+_FILL_RUNS = ("your text", "your content", "your headline", "goes here", "not publish", "hier steht", "replace this", "change this")
 
 
 def normal_lines(text: str) -> list[str]:
@@ -172,7 +174,8 @@ def _may_be_machine(low: str) -> bool:
 
 def _may_fill(low: str, words: set[str]) -> bool:
     """Whether some sentence of a text can be filler at all."""
-    return not (_FILL_WORDS.isdisjoint(words) and _RUNS.isdisjoint(words) and LATIN_STEMS.isdisjoint({w[:5] for w in words})) or ".." in low or "xx" in low or "dfgh" in low or _NO_SPACES.search(low) is not None
+    known = not (_FILL_WORDS.isdisjoint(words) and _RUNS.isdisjoint(words) and LATIN_STEMS.isdisjoint({w[:5] for w in words}))
+    return known or any(r in low for r in _FILL_RUNS) or ".." in low or "xx" in low or "dfgh" in low
 
 
 def is_filler(s: str) -> bool:
@@ -185,8 +188,6 @@ def is_filler(s: str) -> bool:
         return True
     if len(words) >= 3 and all(key for _, key in kinds) and not all(w.isdigit() for w in words):
         return True
-    if _FILL_WORDS.isdisjoint(words) and ".." not in s and not _NO_SPACES.search(s):
-        return False
     return bool(FILLER.search(s) or SLOTS.match(s)) or all(SLOT.match(p) for p in s.split(" / "))
 
 
@@ -201,14 +202,22 @@ def _reports(bare: str) -> bool:
     return not REPORTS.isdisjoint(_SPOKEN.findall(bare.lower()))
 
 
-def is_error(sentence: str) -> bool:
-    """True if a sentence is the message of a failure: written by a machine, or a thing of the web and what is wrong with it; a report is none."""
+def is_error(sentence: str, told: bool = True, joined: bool = True) -> bool:
+    """True if a sentence is the message of a failure: written by a machine, or a thing of the web and what is wrong with it; a report is none.
+
+    The flags tell whether its text has words of a failure, and of scripts without spaces, at all.
+    """
+    machine = _may_be_machine(sentence.lower())
+    if not (machine or told or joined):
+        return False
     bare = _bare(sentence)
     low = bare.lower()
-    words = _SPOKEN.findall(low)
-    if _NO_SPACES.search(low) and JOINED_ERROR.search(low):
+    if joined and _NO_SPACES.search(low) and JOINED_ERROR.search(low):
         return True
-    machine = _may_be_machine(low) and MACHINE.search(bare) is not None
+    machine = machine and MACHINE.search(bare) is not None
+    if not (machine or told):
+        return False
+    words = _SPOKEN.findall(low)
     told = (not THINGS.isdisjoint(words) and (not FAILS.isdisjoint(words) or _GAVE_OUT.search(low) is not None)) or not (FAULT_NOUNS.isdisjoint(words) or SUDDEN.isdisjoint(words))
     return (machine or told) and REPORTS.isdisjoint(words)
 
@@ -217,17 +226,23 @@ def _asks(bare: str) -> bool:
     return not ASKS.isdisjoint(_SPOKEN.findall(bare.lower())) or JOINED_ASK.search(bare) is not None
 
 
-def kinds_of(sentences: list[str]) -> list[str | None]:
+def families(low: str) -> tuple[bool, bool, bool, bool, bool]:
+    """Whether a folded text can hold filler, a notice about scripts, a failure told in words, one written by a machine, and one in a script without spaces."""
+    words = set(_WORDS.findall(low))
+    wrong = not FAILS.isdisjoint(words) or "n't" in low or "n’t" in low or "n'" in low or _GAVE_OUT.search(low) is not None
+    told = (wrong and not THINGS.isdisjoint(words)) or not (FAULT_NOUNS.isdisjoint(words) or SUDDEN.isdisjoint(words))
+    joined = not low.isascii() and _NO_SPACES.search(low) is not None
+    return joined or _may_fill(low, words), any(m in low for m in _SCRIPT_MARKS), told, _may_be_machine(low), joined
+
+
+def kinds_of(sentences: list[str], may: tuple[bool, bool, bool, bool, bool] | None = None) -> list[str | None]:
     """What each sentence of a text is evidence of, reading neighbours together: ``filler``, ``error``, ``script``, ``after``, else null.
 
     A notice may name the browser or its scripts in one sentence and say what to do in the next. What usually follows a message counts only in a text that has one.
     """
-    low = fold("\n".join(sentences))
-    words = set(_WORDS.findall(low))
-    kinds: list[str | None] = [None] * len(sentences)
-    if _may_fill(low, words):
-        kinds = ["filler" if is_filler(s) and not _reports(s) else None for s in sentences]
-    if any(m in low for m in _SCRIPT_MARKS):
+    fill, script, told, machine, joined = families(fold("\n".join(sentences))) if may is None else may
+    kinds: list[str | None] = ["filler" if fill and is_filler(s) and not _reports(s) else None for s in sentences]
+    if script:
         bare = [_bare(s) for s in sentences]
         names = [k is None and SCRIPTS.search(b) is not None and not _reports(b) for k, b in zip(kinds, bare)]
         if any(names):
@@ -241,11 +256,9 @@ def kinds_of(sentences: list[str]) -> list[str | None]:
                     for j in (i - 1, i + 1):
                         if 0 <= j < len(asks) and asks[j] and kinds[j] in (None, "script"):
                             kinds[i] = kinds[j] = "script"
-    wrong = not FAILS.isdisjoint(words) or "n't" in low or "n’t" in low or "n'" in low or _GAVE_OUT.search(low) is not None
-    told = (wrong and not THINGS.isdisjoint(words)) or not (FAULT_NOUNS.isdisjoint(words) or SUDDEN.isdisjoint(words))
-    if told or _may_be_machine(low) or _NO_SPACES.search(low):
+    if told or machine or joined:
         for i, s in enumerate(sentences):
-            if kinds[i] is None and is_error(s):
+            if kinds[i] is None and is_error(s, told, joined):
                 kinds[i] = "error"
     if any(kinds):
         for i, s in enumerate(sentences):
@@ -270,13 +283,16 @@ def read_lines(text: str) -> list[tuple[int, int, int, int]] | None:
     Code between fences holds no evidence; labels weigh nothing beside it.
     """
     fenced = _FENCE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text) if "```" in text else text
+    low = fold(fenced)
+    near, may = HOLE_CUES.near(low), families(low)
+    if not near and not any(may):
+        return None
     lines = [(line, shown) for line, shown in zip(text.split("\n"), fenced.split("\n")) if line.strip(" >\r\t")]
     cut: list[tuple[int, str]] = []
     for n, (_, shown) in enumerate(lines):
         bare = shown.strip()
         cut += [(n, bare)] if bare and SLOTS.match(bare) else [(n, s) for m in _SENTENCE.finditer(shown) if (s := m.group().strip())]
-    kinds = kinds_of([s for _, s in cut])
-    near = HOLE_CUES.near(fold(fenced))
+    kinds = kinds_of([s for _, s in cut], may)
     holes = [near and has_placeholder(s) for _, s in cut]
     if not any(kinds) and not any(holes):
         return None
