@@ -84,7 +84,12 @@ def wide(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least :func:`wide` partitions. Input that is read in that many anyway, as large input is, isn't moved."""
-    n = wide(df.sparkSession)
-    return df if df.rdd.getNumPartitions() >= n // 2 else df.repartition(n)
+def spread(df: DataFrame, order: str | None = None) -> DataFrame:
+    """``df`` in :func:`wide` partitions if it has fewer than there are cores. Input that is read in more, as large input is, isn't moved.
+
+    ``order`` names a unique column to sort moved partitions by, for work that must come out alike whenever a task is run again.
+    """
+    if df.rdd.getNumPartitions() >= df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    moved = df.repartition(wide(df.sparkSession))
+    return moved.sortWithinPartitions(order) if order else moved
