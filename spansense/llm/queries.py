@@ -46,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_ids": lambda s, d: tokens.p6_ids(table(s, d, "documents")),
         "p7_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_target"))[0],
         "p7_shares": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_target"))[1],
+        "p7_checks": lambda s, d: mixing.mix_checks(table(s, d, "documents"), table(s, d, "mix_target")),
         "p8_found": lambda s, d: residue.p8_found(table(s, d, "documents")),
         "p8_clean": lambda s, d: residue.clean_documents(table(s, d, "documents")),
     }

@@ -11,10 +11,12 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,10 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Cuts: the bytes that the rolling hash sees, the mean distance of cuts as a power of two, and the least and most bytes between two.
-WINDOW, MEAN_BITS, LEAST, MOST = 16, 9, 96, 4096
+WINDOW, MEAN_BITS, LEAST, MOST = 16, 11, 256, 16_384
+
+#: A chunk that stands this often in one Arrow batch is hot: its texts go to one of so many tasks, each of which encodes it.
+HOT_IN_BATCH, HOT_TASKS = 64, 64
 
 #: Characters that the word pattern looks at beyond a word's end, at most ("'ll" is told from "'" by two more).
 LOOKAHEAD = 3
@@ -76,25 +81,40 @@ def chunk_bounds(size: int, cuts: np.ndarray, data: np.ndarray, *, least: int =
     return ends
 
 
+_PIECE = "k1 bigint, k2 bigint, salt int, whole boolean, chunk binary, places array<struct<doc_id:bigint,row:bigint,seq:int>>"
+_PLACE = pa.struct([("doc_id", pa.int64()), ("row", pa.int64()), ("seq", pa.int32())])
+
+
 def split_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(doc_id, text)`` to ``(doc_id, seq, chunk)``; every text gives at least one chunk, a null or empty one an empty chunk."""
+    """``(doc_id, row, text)`` to a row per batch and distinct chunk: its hashes, its bytes and the places where it stands.
+
+    ``whole`` tells chunks that are a text of their own from parts of texts; a null or empty text is one empty chunk. Repeats within a batch are put together here, so a chunk of very many texts is moved once a batch.
+    """
     for batch in batches:
-        ids, seqs, chunks = [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        places: dict[tuple[bool, bytes], list[tuple]] = {}
+        for doc, row, text in zip(*[batch.column(i).to_pylist() for i in range(3)]):
             raw = (text or "").encode()
-            if len(raw) <= LEAST:
-                ids.append(doc)
-                seqs.append(0)
-                chunks.append(raw)
-                continue
-            data = np.frombuffer(raw, np.uint8)
             at = 0
-            for seq, end in enumerate(chunk_bounds(len(raw), cut_points(data), data)):
-                ids.append(doc)
-                seqs.append(seq)
-                chunks.append(raw[at:end])
+            if len(raw) > LEAST:
+                data = np.frombuffer(raw, np.uint8)
+                ends = chunk_bounds(len(raw), cut_points(data), data)
+            else:
+                ends = [len(raw)]
+            for seq, end in enumerate(ends):
+                places.setdefault((len(ends) == 1, raw[at:end]), []).append((doc, row, seq))
                 at = end
-        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), pa.array(seqs, pa.int32()), pa.array(chunks, pa.binary())], ["doc_id", "seq", "chunk"])
+        keys = list(places)
+        hashes = [xxhash.xxh3_128_digest(c) for _, c in keys]
+        halves = np.frombuffer(b"".join(hashes), ">i8").astype("<i8").reshape(-1, 2)
+        salts = [places[k][0][1] % HOT_TASKS if len(places[k]) >= HOT_IN_BATCH else 0 for k in keys]
+        flat = [p for k in keys for p in places[k]]
+        offsets = np.cumsum([0, *[len(places[k]) for k in keys]]).astype(np.int32)
+        columns = list(zip(*flat)) or [(), (), ()]
+        items = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PLACE)], fields=list(_PLACE))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(salts, pa.int32()), pa.array([w for w, _ in keys], pa.bool_()), pa.array([c for _, c in keys], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), items)],
+            ["k1", "k2", "salt", "whole", "chunk", "places"],
+        )
 
 
 _WORDS = regex.compile(WORDS)
@@ -147,13 +167,49 @@ def encode_chunk(enc, text: str) -> tuple[list[int], int]:
     return ids, len(ids) - len(enc.encode_ordinary(text[at:])) if at else 0
 
 
-def encode_chunks(path: str):
+def _lists(lists: list[list[int]]) -> pa.Array:
+    """Lists of ids as an Arrow column, without an object per id."""
+    offsets = np.cumsum([0, *map(len, lists)], dtype=np.int64)
+    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(offsets[-1]))
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
+
+
+def encode_whole(path: str, counts: bool):
+    """Chunks that are texts to ``(doc_id, ids)``, or with ``counts`` ``(doc_id, tokens)``: rows come ordered by chunk, so each is encoded once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path)
+        enc, last, ids = encoding(path), None, []
         for batch in batches:
-            coded = [encode_chunk(enc, c.decode()) for c in batch.column(2).to_pylist()]
-            ids, keep = pa.array([c[0] for c in coded], pa.list_(pa.int32())), pa.array([c[1] for c in coded], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids, keep], ["k1", "k2", "ids", "keep"])
+            docs, lists = [], []
+            for whole, chunk, places in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                if not whole:
+                    continue
+                if chunk != last:
+                    last, ids = chunk, enc.encode_ordinary(chunk.decode())
+                docs += [p["doc_id"] for p in places]
+                lists += [len(ids) if counts else ids] * len(places)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(lists, pa.int64()) if counts else _lists(lists)], ["doc_id", "tokens" if counts else "ids"])
+
+    return run
+
+
+def encode_parts(path: str):
+    """Chunks that are parts of texts to ``(doc_id, row, seq, ids, keep)``, each encoded once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, last, coded = encoding(path), None, ([], 0)
+        for batch in batches:
+            rows, lists, keeps = [], [], []
+            for whole, chunk, places in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                if whole:
+                    continue
+                if chunk != last:
+                    last, coded = chunk, encode_chunk(enc, chunk.decode())
+                rows += places
+                lists += [coded[0]] * len(places)
+                keeps += [coded[1]] * len(places)
+            cols = [pa.array([r[n] for r in rows], t) for n, t in (("doc_id", pa.int64()), ("row", pa.int64()), ("seq", pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*cols, _lists(lists), pa.array(keeps, pa.int32())], ["doc_id", "row", "seq", "ids", "keep"])
 
     return run
 
@@ -210,39 +266,46 @@ def join_chunks(words: Words, parts: list[tuple[list[int], int]]) -> list[int]:
     return out
 
 
-def join_documents(path: str):
+def join_documents(path: str, counts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(encoding(path))
         for batch in batches:
             ids, keeps = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            lists = [join_chunks(words, list(zip(i, k))) if len(i) > 1 else i[0] for i, k in zip(ids, keeps)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            lists = [join_chunks(words, list(zip(i, k))) for i, k in zip(ids, keeps)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in lists], pa.int64()) if counts else _lists(lists)], ["doc_id", "tokens" if counts else "ids"])
 
     return run
 
 
+def _encoded(documents: DataFrame, path: str, counts: bool) -> DataFrame:
+    """The ids, or their numbers, of each row.
+
+    Chunks move once, put together by task; those that are texts end there. Only parts of longer texts move again, as ids, to be joined. Both read the same shuffled chunks.
+    """
+    n = wide(documents.sparkSession)
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
+    # the row's own number keeps rows with one doc_id apart; in its order batches, and so hot chunks, are the same whenever a task is run again
+    pieces = spread(rows, "row").mapInArrow(split_chunks, _PIECE).repartition(n, "k1", "k2", "salt").sortWithinPartitions("k1", "k2")
+    out = "doc_id bigint, tokens bigint" if counts else "doc_id bigint, ids array<int>"
+    whole = pieces.mapInArrow(encode_whole(path, counts), out)
+    parts = pieces.mapInArrow(encode_parts(path), "doc_id bigint, row bigint, seq int, ids array<int>, keep int")
+    lists = parts.repartition(n, "row").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("seq", "ids", "keep"))).alias("parts"))
+    joined = lists.select("doc_id", F.col("parts.ids").alias("ids"), F.col("parts.keep").alias("keeps")).mapInArrow(join_documents(path, counts), out)
+    return whole.unionByName(joined)
+
+
 def token_ids(documents: DataFrame, *, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """``(doc_id BIGINT, ids ARRAY<INT>)``: one row per row of ``documents``, without special tokens.
 
     Null and empty texts give an empty list; texts of special tokens are ordinary text; repeated rows come out repeatedly. Every distinct chunk of
-    the corpus is encoded once, wherever it occurs; chunks meet by two 64-bit hashes and their length.
+    the corpus is encoded once, wherever it occurs (a hot one in up to ``HOT_TASKS`` tasks); chunks meet by a 128-bit hash and are compared by their bytes.
     """
-    path = f"{tokenizers}/{vocabulary}"
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("_row", F.monotonically_increasing_id())
-    keyed = rows.select(F.struct("doc_id", "_row").alias("doc"), "text")
-    # the row's own number keeps rows with one doc_id apart
-    pieces = spread(keyed).mapInArrow(split_chunks, "doc_id struct<doc_id: bigint, _row: bigint>, seq int, chunk binary")
-    pieces = pieces.withColumns({"k1": F.xxhash64("chunk"), "k2": F.xxhash64(F.lit("second"), F.octet_length("chunk"), "chunk")})
-    chunks = pieces.groupBy("k1", "k2").agg(F.first("chunk").alias("chunk")).mapInArrow(encode_chunks(path), "k1 bigint, k2 bigint, ids array<int>, keep int")
-    placed = pieces.select("doc_id", "seq", "k1", "k2").join(chunks, ["k1", "k2"]).select("doc_id", F.struct("seq", "ids", "keep").alias("part"))
-    lists = placed.repartition(wide(documents.sparkSession), "doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_list("part")).alias("parts")).select("doc_id", F.col("parts.ids").alias("ids"), F.col("parts.keep").alias("keeps"))
-    joined = lists.mapInArrow(join_documents(path), "doc_id struct<doc_id: bigint, _row: bigint>, ids array<int>")
-    return joined.select(F.col("doc_id.doc_id").alias("doc_id"), "ids")
+    return _encoded(documents, f"{tokenizers}/{vocabulary}", False)
 
 
 def token_counts(documents: DataFrame, *, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``(doc_id, tokens)``: the number of ids of each document."""
-    return token_ids(documents, tokenizers=tokenizers, vocabulary=vocabulary).select("doc_id", F.size("ids").cast("bigint").alias("tokens"))
+    """``(doc_id, tokens)``: the number of ids of each row; the ids themselves stay in the tasks."""
+    return _encoded(documents, f"{tokenizers}/{vocabulary}", True)
 
 
 def p6_ids(documents: DataFrame) -> DataFrame:

@@ -60,5 +60,39 @@ def test_mix(spark):
     mixed, report = mixing.mix(df, targets, period=100, block_tokens=50)
     got = {r["source"]: r for r in report.collect()}
     assert got["a"]["reached_share"] == pytest.approx(0.5, abs=0.02) and got["b"]["most_repeats"] == 3 and got["b"]["occurrences"] == 30 and got["c"]["tokens"] == 0 and got["e"]["reached_share"] == 0
-    assert mixed.groupBy("doc_id").count().where("count > 3").isEmpty()
+    assert mixed.where("token_from = 0").groupBy("doc_id").count().where("count > 3").isEmpty()
     assert mixing.mix(df.where("false"), targets)[0].collect() == []
+
+
+def test_no_source_is_dropped(spark):
+    slots = mixing.slots_of({"a": 0.99996, "b": 0.00004}, mixing.period_of({"a": 0.99996, "b": 0.00004}))
+    assert slots == {"a": 999_960, "b": 40}
+    with pytest.raises(ValueError, match="shares go down"):
+        mixing.period_of({"a": 1.0, "b": 1e-9})
+    many = {f"s{i}": 1.0 for i in range(7)} | {"t": 0.0002}
+    assert all(mixing.slots_of(many, mixing.period_of(many)).values())
+
+
+def test_stated_size():
+    have, targets = {"a": 10**9, "b": 1_000}, {"a": (0.9, 1), "b": (0.1, 2)}
+    assert sum(mixing.plan_mix(have, targets)[1].values()) == pytest.approx(20_000)
+    quotas = mixing.plan_mix(have, targets, total=500_000)[1]
+    assert quotas["b"] == pytest.approx(2_000, rel=0.02) and sum(quotas.values()) == pytest.approx(500_000, rel=0.02)
+    assert sum(mixing.plan_mix({"a": 10, "b": 10}, targets, total=10**6)[1].values()) == pytest.approx(30, rel=0.1)
+
+
+def test_long_documents_are_cut_into_blocks(spark):
+    docs = [(1, "a", "word " * 5000), (2, "a", "word " * 7)] + [(10 + i, "b", "word " * 300) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, text string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    mixed, _ = mixing.mix(df, targets, block_tokens=100)
+    rows = mixed.collect()
+    per = {}
+    for r in rows:
+        per[r["source"], r["block"]] = per.get((r["source"], r["block"]), 0) + r["tokens"]
+    assert all(n == 100 for (s, b), n in per.items() if (s, b + 1) in per)
+    assert len({r["slot"] for r in rows}) == len(per)
+    first = sorted((r["token_from"], r["tokens"]) for r in rows if r["doc_id"] == 1)
+    assert all(a + n == b for (a, n), (b, _) in zip(first, first[1:])) and first[0][0] == 0
+    assert all(r["deviation"] < 1.5 for r in mixing.measured_deviation(mixed, block_tokens=100).collect())
+    assert all(all(r[1:]) for r in mixing.mix_checks(df, targets).collect())
