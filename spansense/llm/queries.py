@@ -41,6 +41,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": lambda s, d: packing.p3_found(*_requests(s, d)),
         "p3_packed": lambda s, d: packing.pack(*_requests(s, d)),
         "p3_report": _packing_report,
+        "p3_rebuilt": lambda s, d: packing.rebuilt(*_requests(s, d)).distinct(),
+        "p3_checks": lambda s, d: packing.packing_checks(*_requests(s, d)),
+        # tasks so small that windows left open are merged over several rounds
+        "p3_merged_checks": lambda s, d: packing.packing_checks(*_requests(s, d), rows_per_task=20),
         "p4_found": lambda s, d: pii.p4_found(table(s, d, "contact")),
         "p4_redacted": _redacted,
         "p6_ids": lambda s, d: tokens.p6_ids(table(s, d, "documents")),

@@ -42,6 +42,8 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _VERDICTS + "SELECT ticket_id FROM v WHERE timeless OR unknown_role OR gap OR unanswered OR empty",
         "p1_verdicts": _VERDICTS + "SELECT *, timeless OR unknown_role OR gap OR unanswered OR empty AS broken FROM v",
         "p2_found": _GROUPS + "SELECT min(seen) AS group_ticket, node AS ticket_id FROM reach GROUP BY node HAVING min(seen) < node",
+        "p3_rebuilt": "SELECT DISTINCT request_id, sha256(state_utf8) AS digest, CAST(COALESCE(len(questions), 0) AS INT) AS questions FROM prepared_request",
+        **{q: "SELECT DISTINCT capability_id, true AS within_limits, true AS complete, true AS cut_only_if_too_large, true AS close_to_least FROM prepared_request JOIN backend_capability USING (capability_id)" for q in ("p3_checks", "p3_merged_checks")},
         "p7_checks": "SELECT DISTINCT source, true AS share_met, true AS within_repeats, true AS blocks_filled, true AS within_block FROM mix_target WHERE source IS NOT NULL",
         "p3_found": "SELECT DISTINCT request_id FROM prepared_request JOIN backend_capability USING (capability_id) "
         "WHERE length(decode(state_utf8)) > max_state_chars OR len(questions) > max_questions OR estimated_tokens > max_input_tokens",

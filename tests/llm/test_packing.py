@@ -1,9 +1,10 @@
+import hashlib
 import json
 import random
 
 import pytest
 
-from spansense.llm.packing import p3_found, pack
+from spansense.llm.packing import p3_found, pack, packing_checks, rebuilt
 
 REQ = "request_id string, capability_id string, state_utf8 binary, questions array<struct<name:string,instructions:string>>, estimated_tokens int"
 CAP = "capability_id string, max_questions int, max_state_chars int, max_input_tokens int"
@@ -27,6 +28,9 @@ def test_every_piece_fits_and_nothing_is_lost(spark, caps):
     assert {r[0] for r in p3_found(df, caps).collect()} == want
     for per_task in (50_000, 100):
         got = pack(df, caps, rows_per_task=per_task).collect()
+        assert all(all(r[1:]) for r in packing_checks(df, caps, rows_per_task=per_task).collect())
+        whole = {(r["request_id"], r["digest"], r["questions"]) for r in rebuilt(df, caps, rows_per_task=per_task).collect()}
+        assert whole == {(r[0], hashlib.sha256(bytes(r[2])).hexdigest(), len(r[3])) for r in rows}
         chars, windows = {}, {}
         for r in got:
             chars[r["request_id"]] = chars.get(r["request_id"], 0) + r["chars"]
