@@ -110,7 +110,7 @@ def verdicts(messages: DataFrame, roles: DataFrame) -> DataFrame:
     customer turn, no agent turn, or a customer turn after the last agent turn (equal times go by ``id``). Rows without ``ticket_id`` belong to no
     ticket; an empty table gives no rows; repeated rows change nothing; a null ``id`` is a message of its own.
     """
-    frags = fragments(messages, roles).drop("text")
+    frags = checkpointed(fragments(messages, roles).drop("text"))  # read by four branches
     return _verdicts(frags, overlap_graph(frags))
 
 
@@ -166,18 +166,21 @@ def conversations(messages: DataFrame, roles: DataFrame) -> DataFrame:
     """``(ticket_id, turn_no, id, speaker, sent_at, text, path)``: the turns of every unbroken ticket, numbered from 1 by time, then ``id``.
 
     ``path`` names the merged path of export fragments that the turn's row belongs to. A ticket may hold any share of the rows: turns are
-    counted by ticket and day first and ordered within a day only. See :func:`verdicts` for what is dropped.
+    counted by ticket, day and second, and only those of one second are ordered by a task. See :func:`verdicts` for what is dropped.
     """
     frags = fragments(messages, roles)
     slim = checkpointed(frags.drop("text"))
     graph = checkpointed(overlap_graph(slim))
     sound = _verdicts(slim, graph).where("not broken").select("ticket_id")
-    kept = turns(frags, text=True).join(sound, "ticket_id").withColumn("day", F.unix_date(F.to_date("time")))
-    days = kept.groupBy("ticket_id", "day").agg(F.count(F.lit(1)).alias("n"))
-    earlier = Window.partitionBy("ticket_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("ticket_id", "day", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    within = Window.partitionBy("ticket_id", "day").orderBy("time", "id")
-    placed = kept.join(days, ["ticket_id", "day"]).withColumn("turn_no", (F.col("base") + F.row_number().over(within)).cast("bigint"))
+    kept = turns(frags, text=True).join(sound, "ticket_id").withColumns({"day": F.unix_date(F.to_date("time")), "second": F.floor(F.unix_micros("time") / 1_000_000)})
+    seconds = kept.groupBy("ticket_id", "day", "second").agg(F.count(F.lit(1)).alias("n"))
+    days = seconds.groupBy("ticket_id", "day").agg(F.sum("n").alias("n"))
+    before = lambda *keys: F.coalesce(F.sum("n").over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select("ticket_id", "day", before("ticket_id", "day").alias("of_days"))
+    seconds = seconds.select("ticket_id", "day", "second", before("ticket_id", "day", "second").alias("of_seconds")).join(days, ["ticket_id", "day"])
+    seconds = seconds.select("ticket_id", "second", (F.col("of_days") + F.col("of_seconds")).alias("base"))
+    within = Window.partitionBy("ticket_id", "second").orderBy("time", "id")
+    placed = kept.join(seconds, ["ticket_id", "second"]).withColumn("turn_no", (F.col("base") + F.row_number().over(within)).cast("bigint"))
     merged = placed.join(paths(graph), ["ticket_id", "fragment"], "left")
     return merged.select("ticket_id", "turn_no", "id", "speaker", F.col("time").alias("sent_at"), "text", F.coalesce("path", "fragment").alias("path"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spansense.llm import conversations, mixing, packing, pii, residue, splits, tokens
 from spansense.runtime import table
@@ -35,7 +36,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": lambda s, d: conversations.p1_found(*_messages(s, d)),
         "p1_verdicts": lambda s, d: conversations.verdicts(*_messages(s, d)),
-        "p1_conversations": lambda s, d: conversations.conversations(*_messages(s, d)),
+        "p1_conversations": lambda s, d: conversations.conversations(*_messages(s, d)).select("ticket_id", "turn_no", "id", "speaker", F.unix_micros("sent_at").alias("sent_us"), "text"),
+        "p1_paths": lambda s, d: conversations.conversations(*_messages(s, d)).groupBy("ticket_id").agg(F.count_distinct("path").alias("paths"), F.count(F.lit(1)).alias("turns")),
         "p2_found": lambda s, d: splits.p2_found(*_messages(s, d)),
         "p2_splits": lambda s, d: splits.split_messages(*_messages(s, d)),
         "p3_found": lambda s, d: packing.p3_found(*_requests(s, d)),

@@ -41,6 +41,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": _VERDICTS + "SELECT ticket_id FROM v WHERE timeless OR unknown_role OR gap OR unanswered OR empty",
         "p1_verdicts": _VERDICTS + "SELECT *, timeless OR unknown_role OR gap OR unanswered OR empty AS broken FROM v",
+        "p1_conversations": _VERDICTS + "SELECT ticket_id, row_number() OVER (PARTITION BY ticket_id ORDER BY t, id) AS turn_no, id, speaker, t AS sent_us, text FROM u JOIN v USING (ticket_id) WHERE NOT (timeless OR unknown_role OR gap OR unanswered OR empty)",
         "p2_found": _GROUPS + "SELECT min(seen) AS group_ticket, node AS ticket_id FROM reach GROUP BY node HAVING min(seen) < node",
         "p3_rebuilt": "SELECT DISTINCT request_id, sha256(state_utf8) AS digest, CAST(COALESCE(len(questions), 0) AS INT) AS questions FROM prepared_request",
         **{q: "SELECT DISTINCT capability_id, true AS within_limits, true AS complete, true AS cut_only_if_too_large, true AS close_to_least FROM prepared_request JOIN backend_capability USING (capability_id)" for q in ("p3_checks", "p3_merged_checks")},
