@@ -21,5 +21,5 @@ class FindUnits:
 def register(spark: SparkSession) -> None:
     """Makes ``find_units`` (a table), ``spans_of`` (an array) and ``outcome_band`` known to SQL."""
     spark.udtf.register("find_units", FindUnits)
-    spark.udf.register("spans_of", udf(lambda t, u: [tuple(s) for s in find(t, u)], SPAN))
+    spark.udf.register("spans_of", udf(lambda t, u: [tuple(s) for s in find(t, u)], SPAN, useArrow=True))
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION outcome_band(p DOUBLE) RETURNS STRING RETURN CASE WHEN p >= 0.9 THEN 'yes' WHEN p <= 0.1 THEN 'no' WHEN p IS NOT NULL THEN 'review' END")
