@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spansense.functions.units import unit_names
-from spansense.operators.judge import HttpJudge, Judge, KeywordJudge
+from spansense.operators.engine import ADAPTERS, Engine, EngineJudge
+from spansense.operators.judge import Judge, KeywordJudge
 from spansense.operators.pattern import Pattern, classify, extract, rate
+from spansense.sources.lockfile import read_records
 from spansense.sources.texts import line_number, read_texts
 
 
@@ -39,6 +41,11 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--keywords", help='a JSON object of triggers and words: {"insult": ["idiot"]}')
         c.add_argument("--backend", help="the address of a judge")
         c.add_argument("--model", default="default")
+        c.add_argument("--adapter", choices=sorted(ADAPTERS), default="plain")
+        c.add_argument("--cache", help="recorded decisions, read and added to (a folder of JSON lines)")
+        c.add_argument("--replay", action="store_true", help="answer from the cache only")
+        c.add_argument("--max-cost", type=float)
+        c.add_argument("--concurrency", type=int, default=8)
         if name == "grep":
             for flag in "vclnHp":
                 c.add_argument(f"-{flag}", action="store_true", dest=f"flag_{flag}")
@@ -55,9 +62,11 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _judge(args) -> Judge:
+def _judge(args, spark: SparkSession) -> Judge:
     if args.backend:
-        return HttpJudge(args.backend, model=args.model)
+        backend = ADAPTERS[args.adapter](args.backend, args.model, key_env="SPANSENSE_KEY")
+        recorded = read_records(spark, args.cache) if args.cache else None
+        return EngineJudge(Engine(backend, recorded=recorded, replay=args.replay, max_cost=args.max_cost, concurrency=args.concurrency, record_to=None if args.replay else args.cache))
     words = json.loads(args.keywords) if args.keywords else {args.meaning: [args.meaning]}
     return KeywordJudge(words)
 
@@ -85,7 +94,7 @@ def _grep(pattern: Pattern, texts: DataFrame, args) -> DataFrame:
 
 def run(spark: SparkSession, args) -> DataFrame:
     texts = _texts(spark, args)
-    judge = _judge(args)
+    judge = _judge(args, spark)
     if args.command == "classify":
         return classify(texts, args.options.split(","), judge, question=args.meaning).select("doc_id", "pick.label", "pick.p")
     if args.command == "rate":

@@ -6,22 +6,52 @@ the prefilter, and rows keep an explicit order (``ord`` within a text), which Sp
 
 from __future__ import annotations
 
+import asyncio
 import re
-from collections.abc import Callable, Mapping, Sequence
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from spansense.errors import LimitError
 from spansense.functions.questions import Choice, Score
-from spansense.functions.units import SEGMENTS, Unit, explode_spans, is_segment, resolve_units, with_spans
-from spansense.operators.judge import Judge
+from spansense.functions.units import SEGMENTS, SPAN, Batch, Unit, explode_spans, is_segment, resolve_units, scan, with_spans
+from spansense.operators.judge import Ask, Judge
+from spansense.runtime import checkpointed
 
 # The default threshold and the edges of the review band; characters around a candidate; the unit set of an extraction.
 THRESHOLD, BAND = 0.5, (0.1, 0.9)
 NEAR = 160
 EXTRACT_UNITS = ("money", "date", "email", "phone", "url", "percent", "number")
+#: Options of one choice, at most, besides none of them.
+MOST_OPTIONS = 254
+
+_HITS = "array<struct<ord:int,start:int,end:int,text:string,unit:string,p:double>>"
+
+
+class Match(NamedTuple):
+    """One match of a text, as the iterator gives it."""
+
+    id: object
+    start: int
+    end: int
+    text: str
+    unit: str
+    p: float
+
+    def group(self, n: int = 0) -> str:
+        if n:
+            raise IndexError("a match has one group, 0")
+        return self.text
+
+    def span(self) -> tuple[int, int]:
+        return self.start, self.end
+
+    def __str__(self) -> str:
+        return self.text
 
 
 def band(p: Column, edges: tuple[float, float] = BAND) -> Column:
@@ -79,35 +109,42 @@ class Pattern:
         resolve_units(self.unit)
 
     @property
-    def wording(self) -> str:
-        return (self.question or f"Does {{ref}} fit this description: {self.meaning}") if self.question else self.meaning
+    def wording(self) -> Ask:
+        """What the judge is asked of each span."""
+        return Ask(self.meaning, self.question, self.context)
 
     # --- spans
 
-    def _scored(self, rows: DataFrame, text: str = "text") -> DataFrame:
+    def _scored(self, rows: DataFrame, text: str = "text", near: str | None = None) -> DataFrame:
         """Rows with ``p``: asked only where the prefilter holds, 0 elsewhere. The two parts are kept apart so that no judge sees a pruned row."""
         if self.prefilter is None:
-            return self.judge.score(rows, self.wording, text=text)
+            return self.judge.score(rows, self.wording, text=text, near=near)
         marked = rows.withColumn("_ask", F.coalesce(prefilter_column(self.prefilter, F.col(text), dialect=self.dialect), F.lit(False)))
-        asked = self.judge.score(marked.where("_ask"), self.wording, text=text)
+        asked = self.judge.score(marked.where("_ask"), self.wording, text=text, near=near)
         return asked.unionByName(marked.where("not _ask").withColumn("p", F.lit(0.0))).drop("_ask")
 
     def scan(self, texts: DataFrame) -> DataFrame:
         """``(id, ord, start, end, text, unit, p, band)`` of every span; those that the prefilter turns away have p 0."""
-        spans = explode_spans(texts, self.unit, keys=[self.id_col], text=self.text_col)
-        return self._scored(spans).withColumn("band", band(F.col("p")))
+        segments = is_segment(self.unit)
+        spans = explode_spans(texts, self.unit, keys=[self.id_col], text=self.text_col, keep_text=not segments)
+        if segments:
+            return self._scored(spans).withColumn("band", band(F.col("p")))
+        # a candidate is judged where it stands
+        spans = spans.withColumn("_near", near(F.col("source"), F.col("start"), F.col("end"))).drop("source")
+        return self._scored(spans, near="_near").drop("_near").withColumn("band", band(F.col("p")))
 
     def findall(self, texts: DataFrame) -> DataFrame:
         """The spans of :meth:`scan` that reach the threshold."""
         return self.scan(texts).where(F.col("p") >= self.threshold)
 
-    def finditer(self, texts: DataFrame):
+    def finditer(self, texts: DataFrame) -> Iterator[Match]:
         """The matches one by one, in order, without holding them all on the driver."""
-        return self.findall(texts).orderBy(self.id_col, "ord").toLocalIterator()
+        for r in self.findall(texts).orderBy(self.id_col, "ord").toLocalIterator():
+            yield Match(r[self.id_col], r["start"], r["end"], r["text"], r["unit"], r["p"])
 
     def search(self, texts: DataFrame) -> DataFrame:
         """The best match of each text, the first of equals; texts without a match give no row."""
-        return best_by(self.findall(texts), [self.id_col], [F.col("p").desc(), F.col("ord")])
+        return best_by(self.findall(texts), [self.id_col], [-F.col("p"), F.col("ord")])
 
     def test(self, texts: DataFrame) -> DataFrame:
         """The texts as wholes, whatever the unit: adds ``p``, ``matched`` and ``band``."""
@@ -118,22 +155,37 @@ class Pattern:
 
     # --- rewriting
 
-    def _hits(self, texts: DataFrame) -> DataFrame:
-        """``(id, hits)``: the matches of each text in order."""
-        hit = F.struct("ord", "start", "end", "text", "unit", "p")
-        return self.findall(texts).groupBy(F.col(self.id_col).alias("_id")).agg(F.sort_array(F.collect_list(hit)).alias("hits"))
+    def _with_hits(self, texts: DataFrame) -> DataFrame:
+        """``(id, text, hits)``: each text with its matches in order.
+
+        An expression judges the spans where they lie, in the row's array. Other judges get a row per span; these meet again by the row's number, which every span of a row carries along
+        from one task, so texts aren't joined and ids may repeat.
+        """
+        rows = with_spans(texts.select(self.id_col, F.col(self.text_col).alias("text")), self.unit, out="_spans")
+        p = self.judge.expression
+        if p is not None and (self.prefilter is None or (isinstance(self.prefilter, str) and self.dialect == "java")):
+            allowed = lambda t: t.rlike(self.prefilter) if self.prefilter is not None else F.lit(True)
+            scored = F.transform(
+                "_spans", lambda x, i: F.struct(i.cast("int").alias("ord"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), x["unit"].alias("unit"), F.when(allowed(x["text"]), p(x["text"], self.wording)).otherwise(0.0).alias("p"))
+            )
+            return rows.select(self.id_col, "text", F.filter(scored, lambda h: h["p"] >= self.threshold).cast(_HITS).alias("hits"))
+        numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+        spans = numbered.select("_row", F.col(self.id_col).alias("_id"), F.col("text").alias("_whole"), F.posexplode_outer("_spans").alias("ord", "s")).select("_row", "_id", "_whole", "ord", "s.*")
+        empty, full = spans.where("ord is null"), spans.where("ord is not null").withColumn("_near", near(F.col("_whole"), F.col("start"), F.col("end")))
+        scored = self._scored(full, near=None if is_segment(self.unit) else "_near").drop("_near").unionByName(empty.withColumn("p", F.lit(None).cast("double")))
+        hit = F.when(F.col("p") >= self.threshold, F.struct("ord", "start", "end", "text", "unit", "p"))
+        lists = scored.groupBy("_row").agg(F.first("_id").alias(self.id_col), F.first("_whole").alias("_t"), F.sort_array(F.collect_list(hit)).cast(_HITS).alias("hits"))
+        return lists.select(self.id_col, F.col("_t").alias("text"), "hits")
 
     def subn(self, repl: str | Callable[[Column], Column], texts: DataFrame, count: int = 0) -> DataFrame:
         """The texts with the first ``count`` matches (0: all) replaced: ``(id, text, n)``.
 
-        ``repl`` is a text, or a function from the match, a struct column, to a column. Ids must be unique.
+        ``repl`` is a text, or a function from the match, a struct column, to a column.
         """
         if count < 0:
             raise ValueError("count is 0, for all, or more")
-        rows = texts.select(self.id_col, F.col(self.text_col).alias("text"))
-        rows = rows.join(self._hits(texts), F.col(self.id_col) == F.col("_id"), "left").drop("_id")
-        hits = F.coalesce(F.col("hits"), F.array().cast("array<struct<ord:int,start:int,end:int,text:string,unit:string,p:double>>"))
-        rows = rows.withColumn("hits", F.slice(hits, F.lit(1), F.lit(count)) if count else hits)
+        rows = self._with_hits(texts)
+        rows = rows.withColumn("hits", F.slice("hits", F.lit(1), F.lit(count))) if count else rows
         new = (lambda h: repl(h)) if callable(repl) else (lambda h: F.lit(repl))
         gap_at = lambda i: F.when(i > 0, F.get(F.col("hits"), i - 1)["end"]).otherwise(F.lit(0))
         parts = F.transform("hits", lambda h, i: F.concat(F.substring(F.col("text"), gap_at(i) + 1, h["start"] - gap_at(i)), new(h)))
@@ -147,9 +199,7 @@ class Pattern:
 
     def split(self, texts: DataFrame, *, keep: bool = False) -> DataFrame:
         """``(id, pieces)``: the text between matches, stripped, empty pieces left out; with ``keep`` the matches too, in their places."""
-        rows = texts.select(self.id_col, F.col(self.text_col).alias("text"))
-        rows = rows.join(self._hits(texts), F.col(self.id_col) == F.col("_id"), "left").drop("_id")
-        rows = rows.withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<ord:int,start:int,end:int,text:string,unit:string,p:double>>")))
+        rows = self._with_hits(texts)
         space = r"[\s\x1c-\x1f\x85\p{Z}]"
         bare = lambda c: F.regexp_replace(c, f"^{space}+|{space}+$", "")
         after = lambda i: F.when(i > 0, F.get(F.col("hits"), i - 1)["end"]).otherwise(F.lit(0))
@@ -167,24 +217,31 @@ class Pattern:
         """
         rx, unit = re.compile(regex) if isinstance(regex, str) else regex, self.unit
 
-        def cut(text: str | None):
-            from spansense.functions.units import find
-
-            if not text:
-                return []
-            hits = [m.span() for m in rx.finditer(text) if m.end() > m.start()]
-            spans = [(s.start, s.end, s.text, s.unit) for s in find(text, unit)]
-            touch = lambda a, b: any(a < y and x < b for x, y, *_ in spans)
-            if not is_segment(unit):
-                spans = sorted(spans + [(a, b, text[a:b], "regex") for a, b in hits if not touch(a, b)], key=lambda s: s[0])
-            out, i = [], 0
-            for x, y, t, u in spans:
-                while i < len(hits) and hits[i][1] <= x:
-                    i += 1
-                out.append((x, y, t, u, i < len(hits) and hits[i][0] < y))
-            return out
-
-        spans = F.udf(cut, "array<struct<start:int,end:int,text:string,unit:string,hit:boolean>>", useArrow=True)
+        def cut(texts: pa.Array) -> pa.Array:
+            batch = Batch(texts.to_pylist())
+            starts, ends, kinds = scan(batch, unit)
+            spans = list(zip(starts.tolist(), ends.tolist(), kinds))
+            begins = [a for a, _, _ in spans]
+            rows: list[list[dict]] = [[] for _ in range(len(batch.starts))]
+            first = 0
+            for row, (base, size) in enumerate(zip(batch.starts.tolist(), batch.sizes.tolist())):
+                text = batch.text[base : base + size]
+                hits = [(base + m.start(), base + m.end()) for m in rx.finditer(text) if m.end() > m.start()]
+                last = bisect_right(begins, base + size - 1) if size else first
+                own = spans[first:last]
+                if not is_segment(unit):
+                    inner = [a for a, _, _ in own]
+                    lone = [(a, b, "regex") for a, b in hits if not ((i := bisect_right(inner, b - 1)) and own[i - 1][1] > a)]
+                    own = sorted(own + lone)
+                i = 0
+                for x, y, kind in own:
+                    while i < len(hits) and hits[i][1] <= x:
+                        i += 1
+                    rows[row].append({"start": x - base, "end": y - base, "text": batch.text[x:y], "unit": kind, "hit": i < len(hits) and hits[i][0] < y})
+                first = last
+            return pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("unit", pa.string()), ("hit", pa.bool_())])))
+
+        spans = F.arrow_udf(cut, "array<struct<start:int,end:int,text:string,unit:string,hit:boolean>>")
         rows = texts.select(self.id_col, F.posexplode(spans(F.col(self.text_col))).alias("ord", "s")).select(self.id_col, "ord", "s.*")
         rows = self.judge.score(rows, self.wording)
         fits = F.col("p") >= self.threshold
@@ -213,8 +270,41 @@ def compile(meaning: str, judge: Judge, **settings) -> Pattern:  # noqa: A001
 
 
 def best_by(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in an order that leaves no ties."""
-    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")
+    """The first row of each key in a rising order that leaves no ties; an aggregation that combines on the map side, so a key may have any share of the rows."""
+    rest = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])).alias("_best"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in rows.columns])
+
+
+async def collected(rows: DataFrame) -> list[Row]:
+    """The rows of any query, awaited: Spark works while the caller does something else."""
+    return await asyncio.to_thread(rows.collect)
+
+
+# --- queries by a text or a pattern -------------------------------------------------------------------------------------------------------
+
+
+def _as_pattern(meaning: str | Pattern, judge: Judge | None, settings: dict) -> Pattern:
+    if isinstance(meaning, Pattern):
+        if judge is not None or settings:
+            raise TypeError("a pattern has its judge and settings already")
+        return meaning
+    if judge is None:
+        raise TypeError("a text needs a judge")
+    return Pattern(meaning, judge, **settings)
+
+
+def _shortcut(name: str) -> Callable[..., DataFrame]:
+    def query(meaning: str | Pattern, *args, judge: Judge | None = None, **settings) -> DataFrame:
+        passed = {k: settings.pop(k) for k in ("count", "keep", "limit") if k in settings}
+        return getattr(_as_pattern(meaning, judge, settings), name)(*args, **passed)
+
+    query.__name__, query.__doc__ = name, f":meth:`Pattern.{name}` of a pattern, or of a text with its ``judge`` and settings."
+    return query
+
+
+test, fullmatch, findall, finditer, search, scan_all = (_shortcut(n) for n in ("test", "fullmatch", "findall", "finditer", "search", "scan"))
+sub, subn, split, diff, filter_texts, rank = (_shortcut(n) for n in ("sub", "subn", "split", "diff", "filter", "rank"))
 
 
 # --- typed queries -------------------------------------------------------------------------------------------------------------------------
@@ -242,19 +332,42 @@ def top(pick: Column, n: int) -> Column:
     return F.slice(F.array_sort(entries, later), 1, n)
 
 
-def extract(texts: DataFrame, what: str, judge: Judge, *, unit: Unit = EXTRACT_UNITS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", group: int = 254) -> DataFrame:
+def extract(texts: DataFrame, what: str, judge: Judge, *, unit: Unit = EXTRACT_UNITS, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", group: int = MOST_OPTIONS) -> DataFrame:
     """``(id, start, end, text, unit, p)``: the one value of each text that is ``what``, or no row.
 
-    Candidates are judged where they stand, with their surroundings, in a tournament: groups of ``group`` candidates send on their best until one is left, which
-    must reach the threshold. Of equal candidates the first wins. A round is one aggregation, and most texts need one.
+    Where a text and its distinct values fit one request the judge chooses among the values, in the order of their first occurrence, and may choose none. If the value chosen stands in several places, or a
+    text is too long or has more than ``group`` values, occurrences meet in a tournament: groups of ``group``, each occurrence in its surroundings, send on the one chosen until one is left. What was chosen must reach the
+    threshold. Ids must be unique; null texts have no values.
     """
-    rows = explode_spans(texts, unit, keys=[id_col], text=text_col, keep_text=True)
-    rows = rows.withColumn("_near", near(F.col("source"), F.col("start"), F.col("end"))).drop("source")
-    rows = judge.score(rows, what, text="_near").drop("_near").where(F.col("p") >= threshold)
-    first = F.struct((-F.col("p")).alias("k"), "ord", "start", "end", "text", "unit", "p")
-    best = rows.groupBy(id_col, F.floor(F.col("ord") / group).alias("_g")).agg(F.min(first).alias("b"))
-    best = best.groupBy(id_col).agg(F.min("b").alias("b"))
-    return best.select(id_col, "b.start", "b.end", "b.text", "b.unit", "b.p")
+    rows = checkpointed(with_spans(texts.select(id_col, F.col(text_col).alias("text")), unit, out="s").where(F.size("s") > 0))
+    values = F.array_distinct(F.col("s.text"))
+    rows = rows.withColumn("values", values)
+    fits = (F.length("text") + F.aggregate("values", F.lit(0), lambda n, v: n + F.length(v) + 20) <= judge.max_state_chars) & (F.size("values") <= group)
+    short = judge.pick(rows.where(fits), what, options="values", text="text", out="pick").where((F.col("pick.place") >= 0) & (F.col("pick.p") >= threshold))
+    chosen = short.withColumn("value", F.get("values", F.col("pick.place"))).withColumn("at", F.filter("s", lambda x: x["text"] == F.col("value")))
+    single = chosen.where(F.size("at") == 1).select(id_col, F.get("at", F.lit(0)).alias("o"), F.col("pick.p").alias("p"))
+    several = chosen.where(F.size("at") > 1).select(id_col, "text", F.col("at").alias("s"), F.col("pick.p").alias("sure"))
+    many = rows.where(~fits).select(id_col, "text", "s", F.lit(None).cast("double").alias("sure"))
+    won = tournament(several.unionByName(many), what, judge, id_col=id_col, group=group)
+    won = won.where((F.col("sure").isNotNull() & (F.col("place") >= 0)) | (F.col("p") >= threshold)).select(id_col, "o", F.coalesce("sure", "p").alias("p"))
+    return single.unionByName(won).select(id_col, "o.start", "o.end", "o.text", "o.unit", "p")
+
+
+def tournament(rows: DataFrame, what: str, judge: Judge, *, id_col: str, group: int = MOST_OPTIONS) -> DataFrame:
+    """``(id, sure, o, place, p)``: of each row's occurrences ``s`` the one that the judge chooses, round by round; groups in which it chooses none send nobody on.
+
+    A round is one aggregation and one pass of the judge; the number of rounds is that of the largest text, its logarithm by ``group``.
+    """
+    seen = rows.select(id_col, "sure", F.posexplode("s").alias("n", "o"), "text")
+    seen = seen.select(id_col, "sure", "n", "o", near(F.col("text"), F.col("o.start"), F.col("o.end")).alias("near"), F.lit(0.0).alias("p"), F.lit(0).alias("place"))
+    while True:
+        entry = F.struct("n", "o", "near")
+        groups = seen.groupBy(id_col, F.floor(F.col("n") / max(2, group)).cast("int").alias("g")).agg(F.first("sure").alias("sure"), F.sort_array(F.collect_list(entry)).alias("in"))
+        asked = judge.pick(groups.withColumns({"_near": F.col("in.near"), "_all": F.array_join("in.near", "\n")}), what, options="_near", text="_all", out="pick").where(F.col("pick.place") >= 0)
+        winner = F.get("in", F.col("pick.place"))
+        seen = checkpointed(asked.select(id_col, "sure", F.col("g").alias("n"), winner["o"].alias("o"), winner["near"].alias("near"), F.col("pick.p").alias("p"), F.col("pick.place").alias("place")))
+        if seen.where("n > 0").isEmpty():
+            return seen.select(id_col, "sure", "o", "place", "p")
 
 
 def extractall(texts: DataFrame, what: str, judge: Judge, *, unit: Unit, threshold: float = THRESHOLD, **columns) -> DataFrame:
@@ -268,9 +381,4 @@ def check_size(texts: DataFrame, judge: Judge, *, text: str = "text") -> DataFra
     return texts.where(F.when(F.length(text) > judge.max_state_chars, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 
 
-def limit_error(error: Exception) -> LimitError:
-    """The library's error for a job that :func:`check_size` ended."""
-    return LimitError(str(error))
-
-
-__all__ = ["SEGMENTS", "Pattern", "band", "best_by", "check_size", "classify", "compile", "extract", "extractall", "near", "prefilter_column", "rate", "top", "with_spans"]
+__all__ = ["SEGMENTS", "SPAN", "Ask", "Match", "Pattern", "band", "best_by", "check_size", "classify", "collected", "compile", "extract", "extractall", "near", "prefilter_column", "rate", "top", "tournament", "with_spans"]

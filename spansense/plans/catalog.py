@@ -208,7 +208,7 @@ def queries() -> dict[str, Query]:
         "same_text_components": lambda s, d: analytics.components_by_key(documents(s, d).withColumn("digest", F.sha2("text", 256)), "doc_id", ["digest"]),
         "text_fingerprints": lambda s, d: documents(s, d).select("doc_id", analytics.text_fingerprint(F.col("text")).alias("digest")),
         "short_palindromes": lambda s, d: documents(s, d).select("doc_id", F.explode(F.split("text", r"\s+")).alias("word")).where(analytics.is_short_palindrome(F.col("word"))).groupBy("word").agg(F.count(F.lit(1)).alias("n")),
-        "latest_events": lambda s, d: best_by(table(s, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], [F.col("event_id").desc()]),
+        "latest_events": lambda s, d: best_by(table(s, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], [-F.col("event_id")]),
         "claim_verdicts": _claims,
         "p5_found": lambda s, d: nested.p5_found(table(s, d, "decisions")),
         "p5_linked": lambda s, d: nested.linked_rows(table(s, d, "decisions")),

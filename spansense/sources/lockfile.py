@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +35,21 @@ def append_decisions(new: DataFrame, path: str, known: DataFrame | None = None,
         rows = rows.withColumn("asked", F.transform_values("asked", lambda k, v: F.substring(v, 1, 160)))
     writer = rows.write.mode("append")
     writer.json(path) if form == "json" else writer.parquet(path)
+
+
+RECORDS = "key string, question_id string, answer string, model string"
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Recorded answers ``(key, question_id, answer, model)`` below a path, each question of a key once; none if there is no such path yet. A corrupt line is an error."""
+    try:
+        rows = spark.read.schema(RECORDS).option("mode", "FAILFAST").json(path)
+    except AnalysisException:
+        return spark.createDataFrame([], RECORDS)
+    return rows.dropDuplicates(["key", "question_id"])
+
+
+def conflicting_keys(decisions: DataFrame) -> DataFrame:
+    """``(key)`` of decisions that were recorded more than once with different answers."""
+    digest = F.xxhash64(F.to_json("answers"))
+    return decisions.groupBy("key").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select("key")

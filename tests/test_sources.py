@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from spansense import cli
-from spansense.errors import LimitError
-from spansense.functions.questions import BoxAnswer, Choice, ChoiceAnswer, Noul, NoulAnswer, Refusal, Score, ScoreAnswer, answer_to_wire, check_answers, parse_answer, strict_answer
+from spansense.errors import BackendError, LimitError
+from spansense.functions.questions import ANSWER, Answer, Choice, Noul, Score, answer_column, answer_fault, answer_level, check_answers, read_answer, strict_answer, strict_reply
 from spansense.functions.sqlfunctions import register
 from spansense.functions.text import has_text, instant, strip
 from spansense.operators.claims import check_claims
@@ -70,22 +70,49 @@ def test_images():
         image_size(b"GIF89a")
 
 
-def test_questions_and_answers():
-    for a in (NoulAnswer(0.5), ChoiceAnswer("x", {"x": 0.7, "y": 0.3}, 0.9), ScoreAnswer(1.5, {0: 0.5, 1: 0.5}, 0.2), BoxAnswer(0.1, 0.2, 0.3, 0.4, 0.5), Refusal("no")):
-        assert parse_answer(answer_to_wire(a)) == a
-    assert parse_answer({"type": "noul", "noul": 7}).p == 1.0
-    assert parse_answer({"type": "choice", "probabilities": {"a": 0.5, "b": 0.5}}).choice == "a"
-    assert ScoreAnswer(2.5).level == 2 and ScoreAnswer(0, {0: 0.4, 1: 0.4}).level == 0
-    assert ChoiceAnswer("a", {"a": 0.3, "b": 0.4, "c": 0.3}).top(2) == [("b", 0.4), ("a", 0.3)]
-    box = BoxAnswer(0.25, 0.25, 0.5, 0.75)
-    assert box.area == 0.125 and box.pixels(100, 200) == (25, 50, 50, 150) and box.pad(0.5) == BoxAnswer(0, 0, 1, 1)
-    for bad in (lambda: Noul(" "), lambda: Choice("q", {"a": None}), lambda: Score("q", ["a"]), lambda: Noul("q", {"maybe": "x"})):
+def test_questions_and_answers(spark):
+    box = Answer("box", box=(0.25, 0.25, 0.5, 0.75), confidence=0.5)
+    samples = [Answer("noul", noul=0.5), Answer("choice", choice="x", probabilities={"x": 0.7, "y": 0.3}, confidence=0.9), Answer("score", score=1.5, probabilities={"0": 0.5, "1": 0.5}, confidence=0.2, legend={"0": "low"}), box, Answer("refusal", reason="no")]
+    for a in samples:
+        assert read_answer(a.to_wire()) == a
+    assert box.to_wire()["box"] == {"left": 0.25, "top": 0.25, "right": 0.5, "bottom": 0.75}
+    assert read_answer({"type": "noul", "noul": 7}).p() == 1.0 and read_answer({"type": "refusal", "refusal": "why"}).reason == "why"
+    pick = read_answer({"type": "choice", "probabilities": {"a": 0.5, "b": 0.5}})
+    assert pick.choice == "a" and pick.confidence == 0.5 and pick.p("b") == 0.5 and pick.p() == 0.5
+    assert Answer("score", score=2.5).level == 2 and Answer("score", score=0, probabilities={"0": 0.4, "1": 0.4}).level == 0
+    assert Answer("choice", choice="a", probabilities={"a": 0.3, "b": 0.4, "c": 0.3}).top(2) == [("b", 0.4), ("a", 0.3)]
+    assert box.area == 0.125 and box.pixels(100, 200) == (25, 50, 50, 150) and box.pad(0.5).box == (0, 0, 1, 1)
+    for bad in (lambda: Noul(" "), lambda: Choice("q", {"a": None}), lambda: Score("q", ["a"]), lambda: Noul("q", {"maybe": "x"}), lambda: Score("q", "abc"), lambda: Choice("q", {"": None, "b": None})):
         with pytest.raises(LimitError):
             bad()
-    with pytest.raises(Exception, match="add up"):
-        strict_answer(Choice("q", {"a": None, "b": None}), {"type": "choice", "choice": "a", "probabilities": {"a": 0.5, "b": 0.4}})
-    with pytest.raises(Exception, match="no option"):
-        check_answers({"q": Choice("q", {"a": None, "b": None})}, {"q": ChoiceAnswer("z")})
+    for bad in ("text", {"type": "what"}, {"type": "noul"}, {"type": "choice"}, {"type": "box", "left": 0.1}, {"type": "box", "box": {"left": 1, "top": 0, "right": 0, "bottom": 1}}):
+        with pytest.raises(BackendError):
+            read_answer(bad)
+    options = Choice("q", {"a": None, "b": None})
+    with pytest.raises(BackendError, match="add up"):
+        strict_answer(options, {"type": "choice", "choice": "a", "probabilities": {"a": 0.5, "b": 0.4}})
+    with pytest.raises(BackendError, match="no option"):
+        check_answers({"q": options}, {"q": Answer("choice", choice="z")})
+    # the same reading by expressions
+    wires = [json.dumps(a.to_wire()) for a in samples] + ['{"type": "choice", "probabilities": {"a": 0.5, "b": 1.5}}', '{"type": "noul", "noul": -3}', "no json"]
+    got = [r[0] for r in spark.createDataFrame([(w,) for w in wires], "w string").select(answer_column(F.col("w")).alias("a")).collect()]
+    assert got[0]["noul"] == 0.5 and got[1]["choice"] == "x" and got[3]["box"]["right"] == 0.5 and got[4]["reason"] == "no" and got[5]["choice"] == "b" and got[5]["confidence"] == 1.0 and got[6]["noul"] == 0.0 and got[7] is None
+
+
+def test_strict_replies(spark):
+    questions = {"a": Noul("q"), "b": Choice("q", {"x": None, "y": None}), "c": Score("q", ["l", "h"])}
+    good = {"model": "m", "answers": {"a": {"type": "noul", "noul": 0.5}, "b": {"type": "choice", "choice": "x", "probabilities": {"x": 0.6, "y": 0.4}, "confidence": 0.1}, "c": {"type": "score", "score": 0.5, "probabilities": {"0": 0.5, "1": 0.5}}}}
+    model, answers = strict_reply(json.dumps(good), questions)
+    assert model == "m" and answers["c"].score == 0.5
+    text = json.dumps(good)
+    for bad in (text.replace('"model": "m", ', ""), text.replace('"noul": 0.5', '"noul": 1.5'), text.replace('"a": {', '"z": {"type": "noul", "noul": 0}, "a": {'), text.replace('"x": 0.6', '"x": 0.6, "x": 0.6'), text.replace('"score": 0.5', '"score": 2'), "{", text.replace('"choice": "x"', '"choice": "z"')):
+        with pytest.raises(BackendError):
+            strict_reply(bad, questions)
+    faults = spark.createDataFrame([(json.dumps(w),) for w in (good["answers"]["b"], {"type": "choice", "choice": "z", "probabilities": {"x": 0.6, "y": 0.4}}, {"type": "choice", "choice": "x", "probabilities": {"x": 1.0}}, {"type": "noul", "noul": 1}, {"type": "refusal"})], "w string")
+    rows = faults.select(answer_fault(F.from_json("w", ANSWER), questions["b"]).alias("f")).collect()
+    assert [r["f"] for r in rows] == [None, "the pick is no option", "the distribution isn't over the options", "expected a choice answer", None]
+    level = spark.createDataFrame([('{"type": "score", "score": 1.6, "probabilities": {"10": 0.4, "2": 0.4}}',), ('{"type": "score", "score": 2.5}',)], "w string").select(answer_level(F.from_json("w", ANSWER)).alias("l"))
+    assert [r["l"] for r in level.collect()] == [2, 2]
 
 
 def test_sql_functions(spark):
