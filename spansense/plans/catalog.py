@@ -14,7 +14,7 @@ from spansense.operators import analytics, claims, nested, requests
 from spansense.operators.judge import KeywordJudge, LabelJudge, RecordedJudge, ScriptedJudge, decision_key
 from spansense.operators.pattern import Pattern, best_by, classify, extract, rate, top
 from spansense.runtime import table
-from spansense.semantic import Band, Predicate, Relation, empty_fields, evaluate, field, gap, kleene_or, partial, sequence
+from spansense.semantic import Band, Predicate, Relation, empty_fields, evaluate, explain, failed_remedy, field, gap, kleene_or, partial, sequence
 from spansense.semantic.sequence import prior_turns
 from spansense.sources.lockfile import missing_keys, probabilities
 from spansense.sources.texts import line_number
@@ -120,13 +120,65 @@ def _adversarial(s: SparkSession, d: str) -> DataFrame:
 
 
 def _span_scores(s: SparkSession, d: str) -> DataFrame:
-    lines = explode_spans(_documents(s, d), "line", keys=["doc_id"])
-    return analytics.span_scores(lines.where("length(text) > 20"), lines.where("ord % 2 = 0"), "doc_id")
+    """Lines that the judge finds, against those that hold the word itself."""
+    return analytics.span_scores(_lines().findall(_documents(s, d)), explode_spans(_documents(s, d), "line", keys=["doc_id"]).where("contains(text, 'refund')"), "doc_id").drop("precision", "recall")
+
+
+def _finder_ceiling(s: SparkSession, d: str) -> DataFrame:
+    """How much of what reviewers listed the e-mail, phone and name finders propose at all."""
+    contacts = table(s, d, "contact").where("gold is not null and text is not null").dropDuplicates(["id"])
+    gold = contacts.select("id", "text", F.explode("gold").alias("g")).where("g <> '' and locate(g, text) > 0")
+    gold = gold.select("id", (F.expr("locate(g, text)") - 1).alias("start"), (F.expr("locate(g, text)") - 1 + F.length("g")).alias("end"))
+    return analytics.span_scores(explode_spans(contacts, ("email", "phone", "name"), keys=["id"]), gold, "id")
 
 
 def _captures(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "events")
-    return analytics.capture_scores(e.where("event_id % 2 = 0").select("user_id", "event_type"), e.where("event_id % 3 = 0").select("user_id", "event_type"), ["user_id", "event_type"])
+    """The captures of a sequence against those of a plain self-join."""
+    table(s, d, "events").createOrReplaceTempView("spansense_events")
+    gold = s.sql(_SEQ.replace("FROM events", "FROM spansense_events") + "SELECT a_id, b_id, c_id FROM m")
+    return analytics.capture_scores(_seq_events(s, d), gold, ["a_id", "b_id", "c_id"])
+
+
+def _turns(s: SparkSession, d: str) -> DataFrame:
+    """Each message once, as its highest revision, with its speaker."""
+    roles = table(s, d, "speaker_role")
+    rows = table(s, d, "support_message").where("sent_at is not null and ticket_id is not null and text is not null")
+    kept = rows.groupBy("id").agg(F.max(F.struct(F.coalesce(F.col("revision").try_cast("bigint"), F.lit(-1)).alias("rev"), "received_at", "sent_at", "ticket_id", "role", "text")).alias("r"))
+    return kept.select("id", F.col("r.ticket_id").alias("ticket_id"), F.col("r.sent_at").alias("time"), "r.text", F.lower(F.trim("r.role")).alias("spelling")).join(roles, "spelling")
+
+
+REMEDIES = KeywordJudge({"report a problem": BROKEN, "offer a remedy": ("try", "restart", "replace", "reset"), "persists": ("still", "again", "no longer"), "same problem": ("",), "meant to mend": ("",)})
+
+
+def _failed_remedies(s: SparkSession, d: str) -> DataFrame:
+    rows = failed_remedy().match(_turns(s, d), "id", ["time", "id"], REMEDIES, day=F.to_date("time"))
+    return rows.select(F.col("g").alias("ticket_id"), "problem", "remedy", "persists", "outcome")
+
+
+def _percent(s: SparkSession, d: str) -> DataFrame:
+    judge = KeywordJudge({"in words": ("percent", "per cent")})
+    return extract(table(s, d, "documents").select("doc_id", "text"), "the share in words", judge, unit="percent").select("doc_id", "text", "p")
+
+
+#: Texts that hold every candidate unit, and what must be found in them.
+LITERALS = (
+    "Mail otter@mail.invalid or heron at mail dot invalid, see https://otter.invalid/a?b=1 and @otter_flint.", "Ring (415) 555-0199 x31, or two oh two five five five oh one nine nine.",
+    "It cost $2,040.10, then 15 euros: 3% more on April 9, 2026 at 4pm.", "Ms. Heron met Lena van Otter; host 10.1.2.3 said \"all good\" 12 times.",
+)
+FOUND = {
+    "email": [(0, 0, "otter@mail.invalid"), (0, 1, "heron at mail dot invalid")], "url": [(0, 0, "https://otter.invalid/a?b=1")], "handle": [(0, 0, "@otter_flint")], "phone": [(1, 0, "(415) 555-0199 x31"), (1, 1, "two oh two five five five oh one nine nine")],
+    "money": [(2, 0, "$2,040.10"), (2, 1, "15 euros")], "percent": [(2, 0, "3%")], "date": [(2, 0, "April 9, 2026")], "time": [(2, 0, "4pm.")], "name": [(0, 0, "Mail"), (1, 0, "Ring"), (3, 0, "Ms. Heron"), (3, 1, "Lena van Otter")],
+    "ipv4": [(3, 0, "10.1.2.3")], "quote": [(3, 0, '"all good"')], "number": [(0, 0, "1"), (1, 0, "415"), (1, 1, "555"), (1, 2, "0199"), (2, 0, "2,040.10"), (2, 1, "15"), (2, 2, "3"), (2, 3, "9"), (2, 4, "2026"), (3, 0, "10.1.2.3"), (3, 1, "12")],
+}
+
+
+def _literals(s: SparkSession, d: str) -> DataFrame:
+    texts = s.createDataFrame(list(enumerate(LITERALS)), "id int, text string")
+    out = None
+    for unit in sorted(FOUND):
+        rows = explode_spans(texts, unit, keys=["id"]).select(F.lit(unit).alias("unit"), "id", "ord", "start", "text")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def _prior(s: SparkSession, d: str) -> DataFrame:
@@ -167,11 +219,16 @@ def queries() -> dict[str, Query]:
         "rank_documents": lambda s, d: Pattern("asks for a refund", JUDGE).rank(documents(s, d), "doc_id", limit=50).select("doc_id", "p"),
         "sub_lines": lambda s, d: _lines().subn("[removed]", documents(s, d)),
         "sub_first_line": lambda s, d: _lines().subn(lambda h: F.concat(F.lit("<"), h["unit"], F.lit(">")), documents(s, d), 1),
-        "split_lines": lambda s, d: _lines().split(documents(s, d), keep=True).select("doc_id", F.size("pieces").alias("pieces"), F.sha2(F.array_join("pieces", "\n"), 256).alias("digest")),
+        "split_lines": lambda s, d: _lines().split(documents(s, d).where("text is not null"), keep=True).select("doc_id", F.size("pieces").alias("pieces"), F.sha2(F.array_join("pieces", "\n"), 256).alias("digest")),
         "diff_lines": lambda s, d: _lines().diff("refund", documents(s, d)).groupBy("doc_id", "side").agg(F.count(F.lit(1)).alias("n")),
         "classify_documents": lambda s, d: classify(documents(s, d).where("text is not null"), list(TOPICS), LabelJudge(TOPICS)).select("doc_id", "pick.label", "pick.p", F.get(top(F.col("pick"), 1), F.lit(0))["key"].alias("top")),
         "rate_documents": lambda s, d: rate(documents(s, d).where("text is not null"), "how urgent is `text`", ["calm", "uneasy", "urgent"], JUDGE).select("doc_id", "rating.level", "rating.label"),
-        "extract_amount": lambda s, d: extract(table(s, d, "documents"), "a refund in its surroundings", JUDGE, unit="money"),
+        "extract_percent": _percent,
+        "question_lines": lambda s, d: _lines(question="Does {ref} ask for a refund?", context="messages to a shop").findall(documents(s, d)).select("doc_id", "ord", "p"),
+        "failed_remedies": _failed_remedies,
+        "leaf_report": lambda s, d: explain(_orders_expr(), table(s, d, "orders"), "o_orderkey", KeywordJudge({"urgent": ("1-urgent", "2-high")}, hit=0.95, miss=0.5)).groupBy("name", "outcome", "near_edge").agg(F.count(F.lit(1)).alias("n")),
+        "units_literals": _literals,
+        "finder_ceiling": _finder_ceiling,
         "recorded_lines": _recorded,
         "decisions_missing": _misses,
         "decision_probabilities": lambda s, d: probabilities(table(s, d, "decisions").dropDuplicates(["key", "recorded_at"])),
@@ -180,7 +237,8 @@ def queries() -> dict[str, Query]:
         "units_text": _units("text"),
         "units_percent": lambda s, d: _units("percent")(s, d).select("doc_id", "ord", "text"),
         "units_ipv4": lambda s, d: _units("ipv4", "contact", "id")(s, d).select("id", "ord", "text"),
-        **{f"units_{u}": _units(u, "contact", "id") for u in ("sentence", "email", "phone", "name", "contact", "date", "time", "number", "money", "url", "handle", "quote")},
+        **{f"units_{u}": _units(u) for u in ("sentence", "date", "time", "number", "money", "url", "quote")},
+        **{f"units_{u}": _units(u, "contact", "id") for u in ("email", "phone", "name", "contact")},
         "sql_find_units": _sql_units,
         "line_numbers": _line_numbers,
         "request_windows": _requests,
@@ -199,7 +257,7 @@ def queries() -> dict[str, Query]:
         "calibration_bins": lambda s, d: analytics.calibration(_scored(s, d), "p", F.col("gold")),
         "brier_score": lambda s, d: analytics.brier(_scored(s, d), "p", F.col("gold")),
         "risk_coverage": lambda s, d: analytics.risk_coverage(_scored(s, d), "p", F.col("gold")),
-        "value_scores": lambda s, d: analytics.value_scores(table(s, d, "support_message"), "role", "source_speaker"),
+        "value_scores": lambda s, d: analytics.value_scores(table(s, d, "support_message").withColumn("shout", F.upper("role")), "role", "shout"),
         "span_scores": _span_scores,
         "adversarial_cells": _adversarial,
         "capture_scores": _captures,
@@ -217,7 +275,7 @@ def queries() -> dict[str, Query]:
 
 # --- oracle SQL ---------------------------------------------------------------------------------------------------------------------------
 
-_SPACE = r"[\s\p{Z}\x1c-\x1f\x{85}]"
+_SPACE = r"[\s\x0b\p{Z}\x1c-\x1f\x{85}]"
 _LINES = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
 _BLANKS = r"\r?\n(?:[ \t]*\r?\n)+"
 
@@ -265,7 +323,7 @@ UNION ALL SELECT key, 'response', name, 0 FROM answer WHERE json_type(v) <> 'NUL
 
 
 def oracle_sql() -> dict[str, str]:
-    cut = _cut(_LINES, "line")
+    cut = _cut(_LINES, "line").replace("WITH d AS", "WITH RECURSIVE d AS", 1)
     topic = "CASE " + " ".join(f"WHEN {_any('text', w)} THEN '{t}'" for t, w in TOPICS.items() if w) + " ELSE 'other' END"
     level = f"CASE WHEN {_any('text', ('now', 'again', 'still'))} THEN 2 ELSE 0 END"
     edited = rf"""SELECT doc_id, text, CASE WHEN bare <> '' AND {_any('bare', REFUND)} THEN 1 ELSE 0 END AS hit, piece, bare, lead, COALESCE(h[i], '') AS br, i FROM t"""
@@ -307,9 +365,33 @@ def oracle_sql() -> dict[str, str]:
         r"UNION ALL SELECT 'prior', count_if(prior_turns IS NULL), 0, count_if(len(prior_turns) = 0) FROM support_message UNION ALL SELECT 'ticket', count_if(ticket_id IS NULL), count_if(regexp_full_match(ticket_id, '[\s\p{Z}]*')), 0 FROM support_message",
         "binary_scores": _SCORED + "SELECT count(*) AS n, count_if((p >= 0.5) = gold) / count(*) AS accuracy, count_if(p >= 0.5 AND gold) / count_if(p >= 0.5) AS precision, count_if(p >= 0.5 AND gold) / count_if(gold) AS recall FROM s",
         "accuracy_by_language": _SCORED + "SELECT lang, count(*) AS n, count_if((p >= 0.5) = gold) / count(*) AS accuracy FROM s GROUP BY lang",
-        "value_scores": r"SELECT count(*) AS n, count_if(regexp_replace(role, '[\s\p{Z}]+', '', 'g') IS NOT DISTINCT FROM regexp_replace(source_speaker, '[\s\p{Z}]+', '', 'g')) AS right, count_if(regexp_replace(role, '[\s\p{Z}]+', '', 'g') IS NOT DISTINCT FROM regexp_replace(source_speaker, '[\s\p{Z}]+', '', 'g')) / count(*) AS accuracy FROM support_message",
-        "capture_scores": "WITH p AS (SELECT user_id, event_type, count(*) AS np FROM events WHERE event_id % 2 = 0 GROUP BY ALL), g AS (SELECT user_id, event_type, count(*) AS ng FROM events WHERE event_id % 3 = 0 GROUP BY ALL), "
-        "b AS (SELECT COALESCE(np, 0) AS np, COALESCE(ng, 0) AS ng FROM p FULL JOIN g USING (user_id, event_type)) SELECT CAST(sum(least(np, ng)) AS BIGINT) AS matched, CAST(sum(np) AS BIGINT) AS predicted, CAST(sum(ng) AS BIGINT) AS gold, sum(least(np, ng)) / sum(np) AS precision, sum(least(np, ng)) / sum(ng) AS recall FROM b",
+        "value_scores": "SELECT count(*) AS n, count_if(role IS NOT DISTINCT FROM upper(role)) AS right, count_if(role IS NOT DISTINCT FROM upper(role)) / count(*) AS accuracy FROM support_message",
+        "capture_scores": _SEQ + "SELECT count(*) AS matched, count(*) AS predicted, count(*) AS gold, 1.0::DOUBLE AS precision, 1.0::DOUBLE AS recall FROM m",
+        "span_scores": cut + f", p AS (SELECT doc_id, \"start\", \"end\", contains(text, 'refund') AS g, {_any('text', REFUND)} AS f FROM spans) SELECT count_if(g) AS gold, count_if(g AND f) AS covered, count_if(g AND f) AS exact, count_if(f) AS predicted, count_if(g AND f) AS landed, count_if(f AND NOT g) AS false_positives, count_if(g AND NOT f) AS leaked FROM p",
+        "split_lines": cut + f", x AS ({edited}), y AS (SELECT *, sum(hit) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM x), parts AS (SELECT doc_id, grp, 1 AS k, bare AS part FROM y WHERE hit = 1 UNION ALL "
+        rf"SELECT doc_id, grp, 2, regexp_replace(regexp_replace(string_agg(piece || br, '' ORDER BY i), '^{_SPACE}+', ''), '{_SPACE}+$', '') FROM y WHERE hit = 0 GROUP BY doc_id, grp), "
+        "z AS (SELECT doc_id, count(*) AS pieces, sha256(string_agg(part, chr(10) ORDER BY grp, k)) AS digest FROM parts WHERE part <> '' GROUP BY doc_id) SELECT d.doc_id, CAST(COALESCE(pieces, 0) AS INT) AS pieces, COALESCE(digest, sha256('')) AS digest FROM documents d LEFT JOIN z USING (doc_id) WHERE d.text IS NOT NULL",
+        "question_lines": cut + f"SELECT doc_id, ord, 0.95::DOUBLE AS p FROM spans WHERE {_any('text', REFUND)}",
+        "extract_percent": r"""WITH x AS (SELECT doc_id, unnest(range(0, len(x)))::INT AS ord, unnest(x) AS text FROM (SELECT doc_id, regexp_extract_all(text, '(?:^|[^.\p{L}\p{N}_])(-?\p{Nd}+(?:[,.]\p{Nd}+)?[\s\x{1c}-\x{1f}\x{85}\p{Z}]?(?:%|(?i:per ?cent)\b))', 1) AS x FROM documents))
+  SELECT doc_id, text, 0.9::DOUBLE AS p FROM x WHERE regexp_matches(lower(text), 'per ?cent') QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ord) = 1""",
+        "failed_remedies": f"""WITH k AS (SELECT id, ticket_id, sent_at AS t, text, lower(trim(role)) AS spelling FROM support_message WHERE sent_at IS NOT NULL AND ticket_id IS NOT NULL AND text IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY id ORDER BY COALESCE(TRY_CAST(revision AS BIGINT), -1) DESC, received_at DESC, sent_at DESC, ticket_id DESC, role DESC NULLS LAST, text DESC) = 1),
+  e AS (SELECT id, ticket_id, t, text, speaker, row_number() OVER (PARTITION BY ticket_id ORDER BY t, id) AS pos FROM k JOIN speaker_role USING (spelling))
+  SELECT a.ticket_id, a.id AS problem, b.id AS remedy, c.id AS persists, true AS outcome FROM e a JOIN e b ON a.ticket_id = b.ticket_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 4 AND b.t - a.t <= INTERVAL 48 HOUR
+  JOIN e c ON b.ticket_id = c.ticket_id AND c.pos BETWEEN b.pos + 1 AND b.pos + 4 AND c.t - a.t <= INTERVAL 48 HOUR
+  WHERE a.speaker = 'customer' AND b.speaker = 'agent' AND c.speaker = 'customer' AND {_any('a.text', BROKEN)} AND {_any('b.text', ('try', 'restart', 'replace', 'reset'))} AND {_any('c.text', ('still', 'again', 'no longer'))}""",
+        "leaf_report": "SELECT 'urgent' AS name, CASE WHEN contains(lower(o_orderpriority), '1-urgent') OR contains(lower(o_orderpriority), '2-high') THEN true END AS outcome, contains(lower(o_orderpriority), '1-urgent') OR contains(lower(o_orderpriority), '2-high') AS near_edge, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' AND o_totalprice >= 50000 GROUP BY ALL",
+        "units_literals": "SELECT * FROM (VALUES " + ", ".join("('{}', {}, {}, {}, '{}')".format(u, i, o, LITERALS[i].index(t), t.replace("'", "''")) for u, rows in sorted(FOUND.items()) for i, o, t in rows) + ') v(unit, id, ord, "start", text)',
+        "calibration_bins": _SCORED + "SELECT CAST(floor(least(p * 10, 9)) AS INT) AS bin, count(*) AS n, avg(p) AS mean_p, avg(CAST(gold AS DOUBLE)) AS rate FROM s GROUP BY 1",
+        "brier_score": _SCORED + "SELECT count(*) AS n, avg((p - CAST(gold AS DOUBLE)) ** 2) AS brier FROM s",
+        "risk_coverage": _SCORED + "SELECT t AS threshold, count_if(greatest(p, 1 - p) >= t) / count(*) AS coverage, CASE WHEN count_if(greatest(p, 1 - p) >= t) > 0 THEN count_if(greatest(p, 1 - p) >= t AND (p >= 0.5) <> gold) / count_if(greatest(p, 1 - p) >= t) END AS risk "
+        "FROM s CROSS JOIN (SELECT unnest([0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99]::DOUBLE[]) AS t) GROUP BY t",
+        "short_palindromes": r"""WITH w AS (SELECT unnest(string_split_regex(text, '[ \t\n\x0b\f\r]+')) AS word FROM documents), b AS (SELECT word, regexp_replace(lower(word), '[^\p{L}\p{N}]+', '', 'g') AS x FROM w) SELECT word, count(*) AS n FROM b WHERE length(x) BETWEEN 4 AND 5 AND x = reverse(x) GROUP BY word""",
+        "request_windows": cut + """, c AS (SELECT doc_id, ord, length(text) + 140 AS cost FROM spans),
+  w AS (SELECT doc_id, ord, cost, 0 AS "window", 1 AS n, cost AS size FROM c WHERE ord = 0 UNION ALL
+    SELECT c.doc_id, c.ord, c.cost, CASE WHEN w.n >= 4 OR w.size + c.cost > 1000 THEN w."window" + 1 ELSE w."window" END, CASE WHEN w.n >= 4 OR w.size + c.cost > 1000 THEN 1 ELSE w.n + 1 END, CASE WHEN w.n >= 4 OR w.size + c.cost > 1000 THEN c.cost ELSE w.size + c.cost END
+    FROM w JOIN c ON c.doc_id = w.doc_id AND c.ord = w.ord + 1)
+  SELECT doc_id, "window", count(*) AS items, CAST(sum(cost) AS BIGINT) AS chars FROM w GROUP BY ALL""".replace("\n", " "),
         "adversarial_cells": f"WITH c AS (SELECT doc_id, text, {_P} AS p FROM documents WHERE text IS NOT NULL) SELECT 'none' AS attack, count(*) AS n, CAST(0 AS BIGINT) AS flips, CAST(0 AS BIGINT) AS review FROM c UNION ALL SELECT 'refund', count(*), count_if(p < 0.5), 0 FROM c",
         "percentile_ranks": "WITH e AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS r, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT q, value FROM (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) v(q) JOIN e ON r = ceil(n * q) - 1",
         "same_text_components": "SELECT doc_id AS node, min(doc_id) OVER (PARTITION BY text) AS root FROM documents WHERE text IS NOT NULL QUALIFY count(*) OVER (PARTITION BY text) > 1",

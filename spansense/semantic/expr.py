@@ -5,8 +5,9 @@ from __future__ import annotations
 import datetime
 import hashlib
 import json
-from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass, field as _field
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, replace
+from dataclasses import field as _field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,8 +91,11 @@ class Predicate(Expr):
     question: str
     fields: Mapping[str, str] = _field(default_factory=dict)
     version: int = 1
+    criteria: Mapping[str, str] | None = None
 
     def __post_init__(self) -> None:
+        if self.criteria and not set(self.criteria) <= {"true", "false"}:
+            raise DefinitionError("criteria of a predicate are 'true' and 'false'")
         if not self.name or not str(self.question).strip() or not self.fields:
             raise DefinitionError("a predicate has a name, a question and fields")
         if isinstance(self.version, bool) or self.version < 1:
@@ -100,7 +104,7 @@ class Predicate(Expr):
             raise DefinitionError("aliases are identifiers")
 
     def digest(self) -> str:
-        return hashlib.sha256(json.dumps([self.name, self.version, self.question, sorted(self.fields.items())]).encode()).hexdigest()
+        return hashlib.sha256(json.dumps([self.name, self.version, self.question, sorted(self.fields.items()), sorted((self.criteria or {}).items())]).encode()).hexdigest()
 
     def state(self) -> Column:
         """What the judge reads: the field itself if there is one, else all as JSON."""
@@ -112,22 +116,60 @@ class Predicate(Expr):
         return F.sha2(F.concat(F.lit(self.digest()), F.lit("|"), F.coalesce(self.state(), F.lit("\x00"))), 256)
 
 
+@dataclass(frozen=True)
+class Ref:
+    """A captured record of a sequence, whose fields a relation between two others may see; made by :func:`ref`."""
+
+    step: str
+
+    def field(self, path: str) -> tuple[str, str]:
+        return self.step, path
+
+
+def ref(step: str) -> Ref:
+    """The record that a step captured."""
+    return Ref(step)
+
+
+Side = str | Mapping[str, str]
+
+
+def _side(side: Side) -> dict[str, str]:
+    return {"value": side} if isinstance(side, str) else dict(side)
+
+
 @dataclass(frozen=True)
 class Relation:
-    """A leaf over two records of a sequence; ``left`` and ``right`` are column paths of the records, ``between`` the names of two steps."""
+    """A leaf over two records of a sequence; ``left`` and ``right`` are column paths of the records, or aliases mapped to paths, ``between`` the names of two steps; it may be :meth:`seeing` fields of other captures."""
 
     name: str
     question: str
-    left: str
-    right: str
+    left: Side
+    right: Side
     version: int = 1
     steps: tuple[str, str] | None = None
+    context: Mapping[str, tuple[str, str]] = _field(default_factory=dict)
 
     def between(self, first: str, second: str) -> "Relation":
-        return Relation(self.name, self.question, self.left, self.right, self.version, (first, second))
+        return replace(self, steps=(first, second))
 
-    def state(self, left: Column, right: Column) -> Column:
-        return F.to_json(F.struct(left.alias("left"), right.alias("right")))
+    def seeing(self, **fields: tuple[str, str]) -> "Relation":
+        """With further fields, as ``seeing(offer=ref("remedy").field("text"))``."""
+        return replace(self, context={**self.context, **fields})
+
+    def columns(self) -> set[str]:
+        """The columns that the records of a sequence must carry along."""
+        return {*_side(self.left).values(), *_side(self.right).values(), *(path for _, path in self.context.values())}
+
+    def state(self, of: Callable[[str, str], Column]) -> Column:
+        """What the judge reads; ``of(step, column)`` is the column of a captured record."""
+        first, second = self.steps  # type: ignore[misc]
+
+        def side(step: str, fields: Side) -> Column:
+            return of(step, fields) if isinstance(fields, str) else F.struct(*[of(step, path).alias(alias) for alias, path in sorted(fields.items())])
+
+        seen = [F.struct(*[of(step, path).alias(alias) for alias, (step, path) in sorted(self.context.items())]).alias("context")] if self.context else []
+        return F.to_json(F.struct(side(first, self.left).alias("left"), side(second, self.right).alias("right"), *seen))
 
 
 _NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -332,3 +374,32 @@ def empty_fields(records: DataFrame, fields: Mapping[str, str]) -> DataFrame:
         empty = F.count_if(F.size(c) == 0) if isinstance(kind, (T.ArrayType, T.MapType)) else F.lit(0)
         aggs.append(F.struct(F.lit(alias).alias("alias"), F.count_if(c.isNull()).cast("bigint").alias("nulls"), blank.cast("bigint").alias("blanks"), empty.cast("bigint").alias("empties")))
     return records.agg(F.array(*aggs).alias("a")).select(F.explode("a").alias("a")).select("a.*")
+
+
+#: Bytes that the projected fields of one bound record may have.
+MOST_RECORD_BYTES = 4 << 20
+
+
+def bind(expr: Expr, records: DataFrame, key: str, *, revision: str | None = None) -> DataFrame:
+    """``(key, revision, <fields>, digest)``: the records with only the fields that the expression reads, and a digest of them.
+
+    Guards are checked against the schema at once, on every branch; a record whose fields have over 4 MiB fails the run.
+    """
+    paths = sorted({p for n in expr.nodes() for p in (n.fields.values() if isinstance(n, Predicate) else [n.path] if isinstance(n, Guard) else [])})
+    partial(expr, records.schema)
+    known = [p for p in paths if _type_at(records.schema, p) is not None]
+    columns = [F.col(p).alias(p.replace(".", "_")) for p in known]
+    rows = records.select(F.col(key).alias("key"), (F.col(revision) if revision else F.lit(None)).cast("string").alias("revision"), *columns)
+    state = F.to_json(F.struct(*[F.col(p.replace(".", "_")) for p in known])) if known else F.lit("{}")
+    size = F.when(F.octet_length(state) > MOST_RECORD_BYTES, F.raise_error(F.concat(F.lit("a record is too large: "), F.col("key").cast("string"))).cast("boolean")).otherwise(F.lit(True))
+    return rows.where(size).withColumn("digest", F.sha2(state, 256))
+
+
+def explain(expr: Expr, records: DataFrame, key: str, judge: Judge, band: Band = Band()) -> DataFrame:  # noqa: B008
+    """``(key, name, version, leaf_id, p, outcome, edge_distance, near_edge)``: one row per record and leaf that a judge answered, without what it read."""
+    found = leaves(expr)
+    rows = evaluate(expr, records.withColumns({f"_id_{i}": leaf.leaf_id() for i, leaf in enumerate(found)}), judge, band, keep=True)
+    parts = F.array(*[F.struct(F.lit(x.name).alias("name"), F.lit(x.version).alias("version"), F.col(f"_id_{i}").alias("leaf_id"), F.col(f"p_{x.name}").alias("p")) for i, x in enumerate(found)])
+    seen = rows.select(F.col(key).alias("key"), F.explode(parts).alias("l")).select("key", "l.*").where("p is not null")
+    p = F.col("p")
+    return seen.withColumns({"outcome": band.apply(p), "edge_distance": band.edge_distance(p), "near_edge": band.near_edge(p)})

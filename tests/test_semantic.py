@@ -4,9 +4,9 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from spansense.errors import DefinitionError, InputError
+from spansense.errors import DefinitionError, EvaluationFailed, InputError, PlanMismatch
 from spansense.operators.judge import KeywordJudge, ScriptedJudge
-from spansense.semantic import Band, Predicate, Relation, evaluate, field, gap, kleene_or, needed, sequence
+from spansense.semantic import Band, Predicate, Relation, bind, evaluate, explain, failed_remedy, field, gap, kleene_or, needed, sequence
 from spansense.semantic.sequence import Limits
 
 JUDGE = KeywordJudge({"bad": ["bad"], "unsure": ["maybe"]}, hit=0.95, miss=0.03)
@@ -114,3 +114,62 @@ def test_windows_relations_and_limits(spark):
 def test_kleene_or(spark):
     df = spark.createDataFrame([(1, False), (1, None), (2, False), (3, None), (3, True)], "k int, o boolean")
     assert {r["k"]: r["o"] for r in df.groupBy("k").agg(kleene_or(F.col("o")).alias("o")).collect()} == {1: None, 2: False, 3: True}
+
+
+@pytest.fixture
+def chat(spark):
+    rows = [("m1", "t", 0, "customer", "the lamp is broken"), ("m2", "t", 1, "agent", "please restart the lamp"), ("m3", "t", 2, "customer", "it is still dark"), ("m4", "t", 3, "customer", "still dark, as I said")]
+    return spark.createDataFrame(rows, "id string, ticket_id string, n int, speaker string, text string").withColumn("time", F.timestamp_seconds(F.col("n") * 60))
+
+
+def _chat_judge(same=lambda state: 0.95):
+    import json as j
+
+    def handler(text, question):
+        if question.startswith("Do both"):
+            return same(j.loads(text))
+        words = {"report": "broken", "remedy": "restart", "persists": "still"}
+        return 0.95 if any(w in question and hit in text for w, hit in words.items()) or question.startswith("Is the second") else 0.03
+
+    return ScriptedJudge(handler)
+
+
+def test_failed_remedy(spark, chat):
+    # the relation sees the problem, the complaint and, by reference, the remedy between them
+    judge = _chat_judge(lambda s: 0.95 if (s["left"], s["context"]["remedy"]) == ("the lamp is broken", "please restart the lamp") else 0.03)
+    rows = failed_remedy().match(chat, "id", ["time", "id"], judge).orderBy("persists").collect()
+    assert [(r["problem"], r["remedy"], r["persists"], r["outcome"]) for r in rows] == [("m1", "m2", "m3", True), ("m1", "m2", "m4", True)]
+    assert failed_remedy().match(chat, "id", ["time", "id"], _chat_judge(lambda s: 0.03)).collect() == []
+
+
+def test_runs_and_reports(spark, chat):
+    pattern, judge, order = failed_remedy(), _chat_judge(), ["time", "id"]
+    whole = pattern.run(chat, "id", order, judge)
+    assert whole.complete and whole.outcome is True and whole.coverage.first()["accepted"] == 2
+    first = pattern.run(chat, "id", order, judge, limits=Limits(results=1, truncate=True))
+    assert first.truncated and not first.complete and first.outcome is None and [r["persists"] for r in first.matches.collect()] == ["m3"] and first.issues
+    with pytest.raises(EvaluationFailed) as failed:
+        pattern.run(chat, "id", order, judge, limits=Limits(results=1))
+    assert failed.value.partial.outcome is None
+    twice = chat.unionByName(chat)
+    kept = pattern.run(twice, "id", order, judge, errors="collect")
+    assert not kept.complete and kept.outcome is None and "isn't unique" in kept.issues[0]
+    backwards = pattern.run(chat.withColumn("time", F.timestamp_seconds(-F.col("n"))), "id", ["id"], judge, errors="collect")
+    assert not backwards.complete and "fall along" in backwards.issues[0]
+    plan = pattern.plan(chat, "id", order, judge)
+    assert {r["name"]: r["records"] for r in plan.describe().collect()} == {"problem": 3, "remedy": 1, "persists": 3} and plan.candidates.count() == 4
+    assert pattern.run(chat, "id", order, judge, plan=plan).complete
+    with pytest.raises(PlanMismatch):
+        pattern.run(chat, "id", order, judge, Band(0.2, 0.8), plan=plan)
+
+
+def test_bind_and_explain(spark, chat):
+    expr = field("speaker").eq("agent") | Predicate("p", "persists?", {"text": "text"}, criteria={"true": "it persists"})
+    bound = bind(expr, chat, "id")
+    assert bound.columns == ["key", "revision", "speaker", "text", "digest"] and bound.select("digest").distinct().count() == 4
+    rows = {r["key"]: (r["p"], r["outcome"], r["near_edge"]) for r in explain(expr, chat, "id", _chat_judge()).collect()}
+    assert rows == {"m1": (0.03, False, False), "m3": (0.95, True, True), "m4": (0.95, True, True)}
+    with pytest.raises(InputError):
+        bind(field("nothing").lt(3), chat, "id")
+    with pytest.raises(DefinitionError):
+        Predicate("p", "q", {"t": "text"}, criteria={"maybe": "x"})
