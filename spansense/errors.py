@@ -65,10 +65,6 @@ class DeadlineExceeded(SpanSenseError):
     """The run took too long."""
 
 
-class ExecutionFailed(SpanSenseError):
-    """A request failed for good."""
-
-
 class UnsupportedCapability(SpanSenseError):
     """The judge can't do what the program needs."""
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spansense.errors import BackendError, BudgetExceeded, CacheMiss, ConfigError, LimitError, UnsupportedCapability
+from spansense.errors import BackendError, BudgetExceeded, CacheMiss, ConfigError, DeadlineExceeded, LimitError, RequestLimitExceeded, UnsupportedCapability
 from spansense.functions.questions import ANSWER, NONE_OPTION, Answer, Choice, Question, Score, answer_column, check_answers, expect, read_answer, strict_answer
 from spansense.operators.judge import PICK_TYPE, Ask, Judge, rating_of
 from spansense.operators.requests import token_estimate
@@ -189,7 +189,8 @@ class Engine:
 
     ``recorded`` is a table ``(key, question_id, answer, model)`` of earlier answers, ``answer`` in JSON. With ``replay`` nothing is sent and a request without a record is an error. ``max_cost`` caps the estimated cost
     of what must be sent; ``concurrency`` is how many requests a task has open at once, ``tasks`` in how many tasks they are sent. ``errors`` says whether a failed request fails the run (``raise``) or
-    comes out as rows with an ``error`` (``collect``). New answers are added to the records at ``record_to``. Paid runs should go without speculation and write the result before they use it twice; :meth:`ask` does.
+    comes out as rows with an ``error`` (``collect``). New answers are added to the records at ``record_to``. More than ``max_requests`` requests to send are an error before any is sent; no request
+    is sent later than ``deadline`` seconds after the run began. Paid runs should go without speculation and write the result before they use it twice; :meth:`ask` does.
     """
 
     backend: Backend
@@ -201,6 +202,8 @@ class Engine:
     strict: bool = False
     errors: str = "raise"
     record_to: str | None = None
+    max_requests: int | None = None
+    deadline: float | None = None
 
     def __post_init__(self) -> None:
         if self.replay and self.recorded is None:
@@ -242,6 +245,8 @@ class Engine:
                 raise CacheMiss(f"no recorded decision for {first['key']}")
             return self._typed(hits)  # type: ignore[arg-type]
         distinct = new.dropDuplicates(["key"])
+        if self.max_requests is not None and distinct.limit(self.max_requests + 1).count() > self.max_requests:
+            raise RequestLimitExceeded(f"more than {self.max_requests} requests to send")
         if self.max_cost is not None:
             cost = (distinct.agg(F.sum("tokens")).first()[0] or 0) * self.backend.price_per_mtok / 1e6
             if cost > self.max_cost:
@@ -262,13 +267,16 @@ class Engine:
 
     def _sender(self) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         backend, strict, at_once, collect = self.backend, self.strict, self.concurrency, self.errors == "collect"
+        until = None if self.deadline is None else time.time() + self.deadline
 
         def one(key: str, state: str, questions: Sequence) -> list[tuple]:
             began = time.perf_counter()
             asked = {q["id"]: Question(**json.loads(q["question"])) for q in questions}
             try:
+                if until is not None and time.time() > until:
+                    raise DeadlineExceeded("the run took too long")
                 found, model = converse(backend, json.loads(state), asked, strict=strict)
-            except (BackendError, LimitError, UnsupportedCapability) as e:
+            except (BackendError, DeadlineExceeded, LimitError, UnsupportedCapability) as e:
                 if not collect:
                     raise
                 return [(key, n, None, None, (time.perf_counter() - began) * 1000, f"{type(e).__name__}: {e}") for n in asked]

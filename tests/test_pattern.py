@@ -8,7 +8,7 @@ from spansense.operators import pattern as P
 from spansense.operators.engine import Backend, DecisionLists, Engine, EngineJudge, HttpJudge, backend_from_env, converse, one_model, requests_of_texts, stats
 from spansense.operators.judge import ColumnJudge, KeywordJudge, LabelJudge, RecordedJudge, ScriptedJudge, decision_key
 from spansense.operators.requests import pack_windows, requests_of, token_estimate, within_budget
-from spansense.errors import BackendError, BudgetExceeded, CacheMiss, ConfigError, UnsupportedCapability
+from spansense.errors import BackendError, BudgetExceeded, CacheMiss, ConfigError, RequestLimitExceeded, UnsupportedCapability
 from spansense.functions.questions import ANSWER, Box, Choice, Noul, Score
 from spansense.runtime import checkpointed
 
@@ -252,6 +252,10 @@ def test_engine(docs, spark):
         replay.ask(requests_of_texts(docs.where("doc_id = 5"), turned, key=F.col("doc_id").cast("string"), text=F.col("text")))
     failing = Engine(Backend("https://judge.invalid", "m", send=lambda *a: (400, {}, "")), errors="collect").ask(requests)
     assert failing.where("error is null").isEmpty() and failing.count() == 12
+    late = Engine(backend, errors="collect", deadline=-1.0).ask(requests)
+    assert {r["error"].split(":")[0] for r in late.collect()} == {"DeadlineExceeded"}
+    with pytest.raises(RequestLimitExceeded):
+        Engine(backend, max_requests=7).ask(requests)
 
 
 def test_recorded_choices_and_ratings(docs, spark):
