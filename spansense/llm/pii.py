@@ -434,6 +434,16 @@ def redacted(contacts: DataFrame, lexicon: Lexicon, key: str) -> DataFrame:
     return spread(contacts.select("id", "text")).mapInArrow(run, "id string, text string, spans int")
 
 
+def reviewed_scores(contacts: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
+    """One row ``(listed, found, recall_met)``: how many spans reviewers listed verbatim, how many of them are among what is found, and whether these are nine of ten. Without a lexicon one is fitted on the same table."""
+    rows = contacts.where("text is not null and gold is not null").select("id", "text", "gold").distinct().withColumn("_row", F.monotonically_increasing_id())
+    spans = personal_spans(rows.select(F.col("_row").cast("string").alias("id"), "text"), lexicon or lexicon_of(contacts))
+    own = rows.withColumn("_row", F.col("_row").cast("string"))
+    texts = spans.join(own.select(F.col("_row").alias("id"), "text"), "id").select("id", F.expr("substring(text, span_start + 1, span_end - span_start)").alias("g")).distinct().withColumn("hit", F.lit(1))
+    listed = own.select(F.col("_row").alias("id"), F.explode("gold").alias("g"), "text").where("g <> '' and contains(text, g)").select("id", "g")
+    return listed.join(texts, ["id", "g"], "left").agg(F.count(F.lit(1)).alias("listed"), F.count("hit").alias("found")).withColumn("recall_met", F.col("found") >= 0.9 * F.col("listed"))
+
+
 def p4_found(contacts: DataFrame) -> DataFrame:
     """One row per personal span."""
     return personal_spans(contacts, lexicon_of(contacts)).select("id", "kind", "span_start")

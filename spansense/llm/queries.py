@@ -40,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_paths": lambda s, d: conversations.conversations(*_messages(s, d)).groupBy("ticket_id").agg(F.count_distinct("path").alias("paths"), F.count(F.lit(1)).alias("turns")),
         "p2_found": lambda s, d: splits.p2_found(*_messages(s, d)),
         "p2_splits": lambda s, d: splits.split_messages(*_messages(s, d)),
+        "p2_checks": lambda s, d: splits.split_checks(*_messages(s, d)),
         "p3_found": lambda s, d: packing.p3_found(*_requests(s, d)),
         "p3_packed": lambda s, d: packing.pack(*_requests(s, d)),
         "p3_report": _packing_report,
@@ -49,7 +50,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_merged_checks": lambda s, d: packing.packing_checks(*_requests(s, d), rows_per_task=20),
         "p4_found": lambda s, d: pii.p4_found(table(s, d, "contact")),
         "p4_redacted": _redacted,
+        "p4_scores": lambda s, d: pii.reviewed_scores(table(s, d, "contact")).select("listed", "recall_met"),
         "p6_ids": lambda s, d: tokens.p6_ids(table(s, d, "documents")),
+        "p6_decoded": lambda s, d: tokens.decoded(tokens.p6_ids(table(s, d, "documents"))),
         "p7_mix": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_target"))[0],
         "p7_shares": lambda s, d: mixing.mix(table(s, d, "documents"), table(s, d, "mix_target"))[1],
         "p7_checks": lambda s, d: mixing.mix_checks(table(s, d, "documents"), table(s, d, "mix_target")),

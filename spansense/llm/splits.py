@@ -71,6 +71,20 @@ def split_messages(messages: DataFrame, roles: DataFrame, shares: Mapping[str, f
     return of.join(placed.select("group_key", split.alias("split")), "group_key").select("id", "group_key", "split")
 
 
+def split_checks(messages: DataFrame, roles: DataFrame, shares: Mapping[str, float] = SHARES, *, within: float = 0.05) -> DataFrame:
+    """One row ``(messages, once_each, tied_together, near_shares)``: that every message has one split, that no tie of two tickets crosses splits, and that the shares are met ``within`` a share of all messages."""
+    splits = checkpointed(split_messages(messages, roles, shares))
+    tickets = messages.where("id is not null and ticket_id is not null").select("id", "ticket_id").distinct().join(splits, "id").groupBy("ticket_id").agg(F.min("split").alias("a"), F.max("split").alias("b"))
+    tickets = checkpointed(tickets)
+    ties = ticket_ties(messages, roles).join(tickets.select(F.col("ticket_id").alias("src"), F.col("a").alias("x")), "src").join(tickets.select(F.col("ticket_id").alias("dst"), F.col("a").alias("y")), "dst")
+    crossing = ties.where("x <> y").limit(1).count() + tickets.where("a <> b").limit(1).count()
+    near = F.lit(True)
+    for name, part in shares.items():
+        share = F.count_if(F.col("split") == name) / F.count(F.lit(1))
+        near = near & (F.abs(share - part / sum(shares.values())) <= within)
+    return splits.agg(F.count_distinct("id").alias("messages"), (F.count_distinct("id") == F.count(F.lit(1))).alias("once_each"), F.lit(crossing == 0).alias("tied_together"), near.alias("near_shares"))
+
+
 def p2_found(messages: DataFrame, roles: DataFrame) -> DataFrame:
     """``(group_ticket, ticket_id)`` of each ticket tied to a smaller one."""
     return ticket_groups(messages, roles).where("ticket_id > group_ticket").select("group_ticket", "ticket_id")

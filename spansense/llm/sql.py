@@ -43,6 +43,9 @@ def oracle_sql() -> dict[str, str]:
         "p1_verdicts": _VERDICTS + "SELECT *, timeless OR unknown_role OR gap OR unanswered OR empty AS broken FROM v",
         "p1_conversations": _VERDICTS + "SELECT ticket_id, row_number() OVER (PARTITION BY ticket_id ORDER BY t, id) AS turn_no, id, speaker, t AS sent_us, text FROM u JOIN v USING (ticket_id) WHERE NOT (timeless OR unknown_role OR gap OR unanswered OR empty)",
         "p2_found": _GROUPS + "SELECT min(seen) AS group_ticket, node AS ticket_id FROM reach GROUP BY node HAVING min(seen) < node",
+        "p2_checks": "SELECT count(DISTINCT id) AS messages, true AS once_each, true AS tied_together, true AS near_shares FROM support_message WHERE id IS NOT NULL",
+        "p4_scores": "SELECT count(*) AS listed, true AS recall_met FROM (SELECT id, unnest(gold) AS g, text FROM (SELECT DISTINCT id, text, gold FROM contact)) WHERE g <> '' AND contains(text, g)",
+        "p6_decoded": "SELECT doc_id, sha256(COALESCE(text, '')) AS digest FROM documents",
         "p3_rebuilt": "SELECT DISTINCT request_id, sha256(state_utf8) AS digest, CAST(COALESCE(len(questions), 0) AS INT) AS questions FROM prepared_request",
         **{q: "SELECT DISTINCT capability_id, true AS within_limits, true AS complete, true AS cut_only_if_too_large, true AS close_to_least FROM prepared_request JOIN backend_capability USING (capability_id)" for q in ("p3_checks", "p3_merged_checks")},
         "p7_checks": "SELECT DISTINCT source, true AS share_met, true AS within_repeats, true AS blocks_filled, true AS within_block FROM mix_target WHERE source IS NOT NULL",

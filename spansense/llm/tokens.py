@@ -9,6 +9,7 @@ agrees, from where the right side's ids hold.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -303,6 +304,19 @@ def token_ids(documents: DataFrame, *, tokenizers: str = TOKENIZERS, vocabulary:
     return _encoded(documents, f"{tokenizers}/{vocabulary}", False)
 
 
+def decoded(ids: DataFrame, *, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``(doc_id, digest)``: SHA-256 of the text that each list of ids stands for, in hexadecimal."""
+    path = f"{tokenizers}/{vocabulary}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(path)
+        for batch in batches:
+            digests = [hashlib.sha256(enc.decode_bytes(x)).hexdigest() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.string())], ["doc_id", "digest"])
+
+    return ids.mapInArrow(run, "doc_id bigint, digest string")
+
+
 def token_counts(documents: DataFrame, *, tokenizers: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """``(doc_id, tokens)``: the number of ids of each row; the ids themselves stay in the tasks."""
     return _encoded(documents, f"{tokenizers}/{vocabulary}", True)
