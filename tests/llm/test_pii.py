@@ -3,7 +3,7 @@ import time
 
 import pytest
 
-from spansense.llm.pii import Finder, Lexicon, fit_lexicon, lexicon_of, p4_found, redacted
+from spansense.llm.pii import Finder, Lexicon, fit_lexicon, lexicon_of, p4_found, redacted, reviewed_scores
 from spansense.llm.pseudonyms import Feistel, check_offset, phone_parts, placeholder, pseudonym_date, pseudonym_id, pseudonym_phone, read_date
 
 LEX = Lexicon(frozenset({"lena", "igor", "mara"}), frozenset({"otterby", "van-hoek", "rosqvist"}))
@@ -135,3 +135,10 @@ def test_operators(spark):
     out = redacted(df, lexicon_of(df), "key").where("id = '1' or id = '2'").collect()
     assert all(r["text"] is None or (r["text"].startswith("[name ") and "], [email " in r["text"] and r["spans"] == 2) for r in out) and len({r["text"] for r in out}) == 2
     assert p4_found(df.where("false")).collect() == []
+
+
+def test_scores_against_reviewers(spark):
+    rows = [("1", "Lena Otterby, lena@mail.invalid", ["Lena Otterby", "lena@mail.invalid", ""]), ("2", "Zed Unknownname came", ["Zed Unknownname"]), ("3", None, ["x"]), ("4", "no list", None), ("1", "Lena Otterby, lena@mail.invalid", ["Lena Otterby", "lena@mail.invalid", ""])]
+    df = spark.createDataFrame(rows, "id string, text string, gold array<string>")
+    assert tuple(reviewed_scores(df, LEX).first()) == (3, 2, False)
+    assert tuple(reviewed_scores(df).first()) == (3, 3, True)

@@ -1,6 +1,6 @@
 from datetime import datetime, timedelta, timezone
 
-from spansense.llm.splits import p2_found, split_messages
+from spansense.llm.splits import p2_found, split_checks, split_messages
 
 SCHEMA = "id string, ticket_id string, role string, text string, sent_at timestamp, source_speaker string, source_timestamp string"
 T0 = datetime(2026, 1, 1, tzinfo=timezone.utc)
@@ -31,3 +31,11 @@ def test_proportions(spark):
     got = split_messages(spark.createDataFrame(rows, SCHEMA), roles).groupBy("split").count().collect()
     n = {r["split"]: r["count"] for r in got}
     assert abs(n["train"] - 2400) < 30 and abs(n["validation"] - 300) < 30 and abs(n["test"] - 300) < 30
+
+
+def test_checks_tell_a_good_split(spark):
+    roles = spark.createDataFrame([("customer", "customer")], "spelling string, speaker string")
+    rows = [(f"m{i}", f"t{i // 2}", "customer", None, None, f"u{i // 6}", None) for i in range(1200)] + [("m0", "t0", "customer", None, None, "u0", None), (None, "t1", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert tuple(split_checks(df, roles).first()) == (1200, True, True, True)
+    assert not split_checks(df, roles, {"train": 1.0, "test": 0.0}, within=-1.0).first()["near_shares"]

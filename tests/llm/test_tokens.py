@@ -1,3 +1,4 @@
+import hashlib
 import os
 import random
 
@@ -96,3 +97,18 @@ def test_long_documents_are_cut_into_blocks(spark):
     assert all(a + n == b for (a, n), (b, _) in zip(first, first[1:])) and first[0][0] == 0
     assert all(r["deviation"] < 1.5 for r in mixing.measured_deviation(mixed, block_tokens=100).collect())
     assert all(all(r[1:]) for r in mixing.mix_checks(df, targets).collect())
+
+
+def test_ids_decode_to_the_texts(spark):
+    texts = ["", None, "é" * 3000, "<|endoftext|> and more", "a b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in enumerate(texts)}
+    assert {r["doc_id"]: r["digest"] for r in tokens.decoded(tokens.p6_ids(df)).collect()} == want
+    assert {r["doc_id"]: r["tokens"] for r in tokens.token_counts(df).collect()} == {r["doc_id"]: len(r["ids"]) for r in tokens.p6_ids(df).collect()}
+
+
+def test_hot_chunks_are_spread_and_kept_whole(spark, words):
+    """A text that a third of the rows share goes to several tasks; every row comes out once, also with clashing columns."""
+    df = spark.createDataFrame([(i, "the same notice again" if i % 3 == 0 else f"text {i}", i) for i in range(3000)], "doc_id bigint, text string, row bigint")
+    rows = {r["doc_id"]: r["ids"] for r in tokens.p6_ids(df).collect()}
+    assert len(rows) == 3000 and all(rows[i] == words.enc.encode_ordinary("the same notice again") for i in range(0, 3000, 3)) and rows[1] == words.enc.encode_ordinary("text 1")
