@@ -172,3 +172,64 @@ def is_short_palindrome(text: Column) -> Column:
 def text_fingerprint(text: Column) -> Column:
     """SHA-256 of a text with its line ends unified."""
     return F.sha2(F.regexp_replace(text, "\r\n", "\n"), 256)
+
+
+def packing_effect(alone: DataFrame, together: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
+    """One row ``(n, largest_rise, largest_fall, flips)``: how far the probabilities of the same texts move between two runs of a judge, as when each is asked alone or beside others."""
+    a, b = alone.select(F.col(key).alias("k"), F.col("p").alias("a")), together.select(F.col(key).alias("k"), F.col("p").alias("b"))
+    move = F.col("b") - F.col("a")
+    return a.join(b, "k").agg(
+        F.count(F.lit(1)).alias("n"), F.greatest(F.max(move), F.lit(0.0)).alias("largest_rise"), F.least(F.min(move), F.lit(0.0)).alias("largest_fall"),
+        F.count_if((F.col("a") >= threshold) != (F.col("b") >= threshold)).alias("flips"),
+    )
+
+
+def roll_up(runs: DataFrame, by: list[str], sums: list[str], times: list[str]) -> DataFrame:
+    """``(by, n, <sum>_total, <time>_p50, <time>_p95, <time>_max)``: what the runs of each group took together, and their nearest-rank percentiles.
+
+    Values are counted before they are ranked, so a group may have any number of runs; nulls count for nothing.
+    """
+    out = runs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"{c}_total") for c in sums])
+    from pyspark.sql import Window
+
+    for c in times:
+        counts = runs.where(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count(F.lit(1)).alias("m"))
+        upto = F.sum("m").over(Window.partitionBy(*by).orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
+        ranked = counts.withColumn("upto", upto).withColumn("all", F.sum("m").over(Window.partitionBy(*by)))
+        rank = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col(c)))
+        part = ranked.groupBy(*by).agg(rank(0.5).alias(f"{c}_p50"), rank(0.95).alias(f"{c}_p95"), F.max(c).alias(f"{c}_max"))
+        on = [F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}")) for b in by]
+        keep = [f"{c}_p50", f"{c}_p95", f"{c}_max"]
+        out = out.alias("l").join(part.alias("r"), on, "left").select("l.*", *[F.col(f"r.{k}").alias(k) for k in keep])
+    return out
+
+
+def compare_arms(rows: DataFrame, arms: dict[str, Column], gold: Column) -> DataFrame:
+    """``(arm, n, precision, recall, f1)``: several ways to predict the same yes or no, scored over the same rows in one pass. Shares of nothing are 1; F1 of nothing is null."""
+    known = rows.where(gold.isNotNull())
+    cells = []
+    for name, said in arms.items():
+        said = F.coalesce(said, F.lit(False))
+        tp, fp, fn = F.count_if(said & gold), F.count_if(said & ~gold), F.count_if(~said & gold)
+        cells.append(F.struct(F.lit(name).alias("arm"), F.count(F.lit(1)).alias("n"), ratio(tp, tp + fp, 1.0).alias("precision"), ratio(tp, tp + fn, 1.0).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1")))
+    return known.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+
+
+def label_faults(labels: DataFrame, records: DataFrame, key: str, fields: dict[str, list[str]] | None = None, *, digest: str | None = None) -> DataFrame:
+    """``(key, fault)`` of labels that can't be used: ``unknown`` records, ``repeated`` labels, ``unlabelled`` records, ``stale`` ones (another ``digest`` than the record's) and values that a field of ``fields`` doesn't allow."""
+    fault = lambda df, name: df.select(F.col(key).alias("key"), F.lit(name).alias("fault"))
+    ids = records.select(key).distinct()
+    out = fault(labels.join(ids, key, "left_anti"), "unknown").unionByName(fault(labels.groupBy(key).count().where("count > 1"), "repeated")).unionByName(fault(ids.join(labels.select(key).distinct(), key, "left_anti"), "unlabelled"))
+    if digest is not None:
+        own = records.select(key, F.col(digest).alias("_d"))
+        out = out.unionByName(fault(labels.join(own, key).where(~F.col(digest).eqNullSafe(F.col("_d"))), "stale"))
+    for name, allowed in (fields or {}).items():
+        out = out.unionByName(fault(labels.where(~F.coalesce(F.col(name).isin(allowed), F.lit(False))), name))
+    return out.distinct()
+
+
+def disagreements(first: DataFrame, second: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key, first, second)`` where two reviewers differ, a record that one of them left out included."""
+    a, b = first.select(F.col(key).alias("key"), F.struct(F.col(value)).alias("a")), second.select(F.col(key).alias("key"), F.struct(F.col(value)).alias("b"))
+    both = a.join(b, "key", "full").where(~F.col("a").eqNullSafe(F.col("b")))
+    return both.select("key", F.col(f"a.{value}").alias("first"), F.col(f"b.{value}").alias("second"))

@@ -375,10 +375,4 @@ def extractall(texts: DataFrame, what: str, judge: Judge, *, unit: Unit, thresho
     return Pattern(what, judge, unit=unit, threshold=threshold, **columns).findall(texts)
 
 
-def check_size(texts: DataFrame, judge: Judge, *, text: str = "text") -> DataFrame:
-    """The rows; running them fails if a text exceeds what one request of the judge holds."""
-    message = F.concat(F.lit("a text has "), F.length(text).cast("string"), F.lit(f" characters, a request holds {judge.max_state_chars}"))
-    return texts.where(F.when(F.length(text) > judge.max_state_chars, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
-
-
-__all__ = ["SEGMENTS", "SPAN", "Ask", "Match", "Pattern", "band", "best_by", "check_size", "classify", "collected", "compile", "extract", "extractall", "near", "prefilter_column", "rate", "top", "tournament", "with_spans"]
+__all__ = ["SEGMENTS", "SPAN", "Ask", "Match", "Pattern", "band", "best_by", "classify", "collected", "compile", "extract", "extractall", "near", "prefilter_column", "rate", "top", "tournament", "with_spans"]

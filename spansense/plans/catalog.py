@@ -237,7 +237,8 @@ def queries() -> dict[str, Query]:
         "units_text": _units("text"),
         "units_percent": lambda s, d: _units("percent")(s, d).select("doc_id", "ord", "text"),
         "units_ipv4": lambda s, d: _units("ipv4", "contact", "id")(s, d).select("id", "ord", "text"),
-        **{f"units_{u}": _units(u) for u in ("sentence", "date", "time", "number", "money", "url", "quote")},
+        "units_url": lambda s, d: _units("url")(s, d).select("doc_id", "ord", "text"),
+        **{f"units_{u}": _units(u) for u in ("sentence", "date", "time", "number", "money", "quote")},
         **{f"units_{u}": _units(u, "contact", "id") for u in ("email", "phone", "name", "contact")},
         "sql_find_units": _sql_units,
         "line_numbers": _line_numbers,
@@ -260,6 +261,10 @@ def queries() -> dict[str, Query]:
         "value_scores": lambda s, d: analytics.value_scores(table(s, d, "support_message").withColumn("shout", F.upper("role")), "role", "shout"),
         "span_scores": _span_scores,
         "adversarial_cells": _adversarial,
+        "packing_effect": lambda s, d: analytics.packing_effect(JUDGE.score(documents(s, d).where("text is not null"), "asks for a refund"), JUDGE.score(documents(s, d).where("text is not null").withColumn("text", F.concat("text", F.lit(" and a charged battery"))), "asks for a refund"), "doc_id"),
+        "run_roll_up": lambda s, d: analytics.roll_up(table(s, d, "prepared_request"), ["capability_id"], ["estimated_tokens"], ["estimated_tokens"]),
+        "compared_arms": lambda s, d: analytics.compare_arms(documents(s, d).where("text is not null"), {"word": F.contains(F.lower("text"), F.lit("refund")), "broken": JUDGE.expression(F.col("text"), "sounds broken") >= 0.5, "all": F.lit(True)}, JUDGE.expression(F.col("text"), "asks for a refund") >= 0.5),
+        "label_faults": lambda s, d: analytics.label_faults(table(s, d, "support_message").select("id", F.lower(F.trim("role")).alias("role")), table(s, d, "support_message").where("ticket_id is not null").select("id"), "id", {"role": ["customer", "agent"]}).groupBy("fault").agg(F.count(F.lit(1)).alias("n")),
         "capture_scores": _captures,
         "percentile_ranks": lambda s, d: analytics.percentile_ranks(table(s, d, "events"), "value", [0.5, 0.95, 0.99]),
         "bootstrap_f1": lambda s, d: analytics.bootstrap_f1(_scored(s, d).withColumns({"tp": ((F.col("p") >= 0.5) & F.col("gold")).cast("int"), "fp": ((F.col("p") >= 0.5) & ~F.col("gold")).cast("int"), "fn": ((F.col("p") < 0.5) & F.col("gold")).cast("int")}), "lang", "tp", "fp", "fn", 200),
@@ -392,6 +397,15 @@ def oracle_sql() -> dict[str, str]:
     SELECT c.doc_id, c.ord, c.cost, CASE WHEN w.n >= 4 OR w.size + c.cost > 1000 THEN w."window" + 1 ELSE w."window" END, CASE WHEN w.n >= 4 OR w.size + c.cost > 1000 THEN 1 ELSE w.n + 1 END, CASE WHEN w.n >= 4 OR w.size + c.cost > 1000 THEN c.cost ELSE w.size + c.cost END
     FROM w JOIN c ON c.doc_id = w.doc_id AND c.ord = w.ord + 1)
   SELECT doc_id, "window", count(*) AS items, CAST(sum(cost) AS BIGINT) AS chars FROM w GROUP BY ALL""".replace("\n", " "),
+        "packing_effect": f"WITH c AS (SELECT {_P} AS p FROM documents WHERE text IS NOT NULL) SELECT count(*) AS n, max(0.95::DOUBLE - p) AS largest_rise, 0.0::DOUBLE AS largest_fall, count_if(p < 0.5) AS flips FROM c",
+        "run_roll_up": "WITH r AS (SELECT capability_id, estimated_tokens AS t, row_number() OVER (PARTITION BY capability_id ORDER BY estimated_tokens) AS i, count(*) OVER (PARTITION BY capability_id) AS m FROM prepared_request WHERE estimated_tokens IS NOT NULL), "
+        "g AS (SELECT capability_id, max(CASE WHEN i = ceil(m * 0.5) THEN t END) AS p50, max(CASE WHEN i = ceil(m * 0.95) THEN t END) AS p95, max(t) AS x FROM r GROUP BY 1) "
+        "SELECT p.capability_id, count(*) AS n, CAST(sum(estimated_tokens) AS BIGINT) AS estimated_tokens_total, max(p50) AS estimated_tokens_p50, max(p95) AS estimated_tokens_p95, max(x) AS estimated_tokens_max FROM prepared_request p LEFT JOIN g ON p.capability_id IS NOT DISTINCT FROM g.capability_id GROUP BY 1",
+        "compared_arms": f"WITH x AS (SELECT contains(lower(text), 'refund') AS w, {_any('text', BROKEN)} AS b, {_any('text', REFUND)} AS g FROM documents WHERE text IS NOT NULL), a AS (SELECT 'word' AS arm, w AS s, g FROM x UNION ALL SELECT 'broken', b, g FROM x UNION ALL SELECT 'all', true, g FROM x) "
+        "SELECT arm, count(*) AS n, count_if(s AND g) / count_if(s) AS precision, count_if(s AND g) / count_if(g) AS recall, 2 * count_if(s AND g) / (count_if(s) + count_if(g)) AS f1 FROM a GROUP BY arm",
+        "label_faults": "WITH l AS (SELECT id, lower(trim(role)) AS role FROM support_message), r AS (SELECT DISTINCT id FROM support_message WHERE ticket_id IS NOT NULL), f AS (SELECT DISTINCT id, 'unknown' AS fault FROM l WHERE id NOT IN (SELECT id FROM r) UNION ALL SELECT id, 'repeated' FROM l GROUP BY id HAVING count(*) > 1 "
+        "UNION ALL SELECT DISTINCT id, 'role' FROM l WHERE COALESCE(role NOT IN ('customer', 'agent'), true)) SELECT fault, count(*) AS n FROM f GROUP BY fault",
+        "units_url": r"""SELECT doc_id, CAST(i AS INT) AS ord, x[i + 1] AS text FROM (SELECT doc_id, x, unnest(range(0, len(x))) AS i FROM (SELECT doc_id, regexp_extract_all(text, '(?i)(?:^|[^\p{L}\p{N}_])((?:https?://|www\.)[^\s<>"'')\]]*[^\s<>"'')\].,:;!?])', 1) AS x FROM documents))""",
         "adversarial_cells": f"WITH c AS (SELECT doc_id, text, {_P} AS p FROM documents WHERE text IS NOT NULL) SELECT 'none' AS attack, count(*) AS n, CAST(0 AS BIGINT) AS flips, CAST(0 AS BIGINT) AS review FROM c UNION ALL SELECT 'refund', count(*), count_if(p < 0.5), 0 FROM c",
         "percentile_ranks": "WITH e AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS r, count(*) OVER () AS n FROM events WHERE value IS NOT NULL) SELECT q, value FROM (VALUES (0.5::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) v(q) JOIN e ON r = ceil(n * q) - 1",
         "same_text_components": "SELECT doc_id AS node, min(doc_id) OVER (PARTITION BY text) AS root FROM documents WHERE text IS NOT NULL QUALIFY count(*) OVER (PARTITION BY text) > 1",

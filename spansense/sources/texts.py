@@ -29,6 +29,39 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, key: str | None = No
     return rows
 
 
+#: Bytes that a member of an archive may unpack to.
+MOST_MEMBER_BYTES = 256 << 20
+
+
+def read_zip(spark: SparkSession, path: str, members: list[str], *, sha256: str | None = None) -> DataFrame:
+    """``(path, member, text)``: named members of archives as texts. With ``sha256`` an archive of another digest is an error, as is a member that is missing or unpacks to over ``MOST_MEMBER_BYTES``."""
+    import io
+    import zipfile
+
+    def unpack(content: bytes | None) -> list[tuple[str, str]]:
+        with zipfile.ZipFile(io.BytesIO(bytes(content or b""))) as z:
+            out = []
+            for name in members:
+                if z.getinfo(name).file_size > MOST_MEMBER_BYTES:
+                    raise LimitError(f"{name} is too large")
+                out.append((name, z.read(name).decode("utf-8", "replace")))
+            return out
+
+    files = spark.read.format("binaryFile").load(path)
+    if sha256 is not None:
+        other = F.raise_error(F.concat(F.lit("an archive of another digest: "), F.col("path"))).cast("boolean")
+        files = files.where(F.when(F.sha2("content", 256) != sha256.lower(), other).otherwise(F.lit(True)))
+    unpacked = F.udf(unpack, "array<struct<member:string,text:string>>")
+    return files.select("path", F.explode(unpacked("content")).alias("m")).select("path", "m.member", "m.text")
+
+
+def picture_assets(rows: DataFrame, picture: str) -> tuple[DataFrame, DataFrame]:
+    """``(rows, assets)``: the rows with each picture replaced by its reference ``asset:<sha256>``, and every distinct picture once as ``(asset, content)``. Null pictures stay null."""
+    name = F.when(F.col(picture).isNotNull(), F.concat(F.lit("asset:"), F.sha2(picture, 256)))
+    assets = rows.where(F.col(picture).isNotNull()).select(name.alias("asset"), F.col(picture).alias("content")).dropDuplicates(["asset"])
+    return rows.withColumn(picture, name), assets
+
+
 def line_number(text: Column, start: Column) -> Column:
     """The line, from 1, in which an offset lies, by the same breaks as the unit ``line``."""
     return F.size(F.split(F.substring(text, F.lit(1), start), LINE_BREAK, -1))

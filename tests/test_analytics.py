@@ -115,3 +115,12 @@ def test_palindromes_and_fingerprints(spark):
     assert [r[0] for r in df.select(A.is_short_palindrome(F.col("t"))).collect()] == [True, False, True, False, False, False]
     prints = [r[0] for r in df.select(A.text_fingerprint(F.col("t"))).collect()]
     assert prints[4] == prints[5]
+
+
+def test_label_validation(spark):
+    records = spark.createDataFrame([("a", "h1"), ("b", "h2"), ("c", "h3")], "id string, h string")
+    labels = spark.createDataFrame([("a", "h1", "YES"), ("b", "old", "MAYBE"), ("z", "h", "NO"), ("a", "h1", "YES")], "id string, h string, presence string")
+    got = {(r["key"], r["fault"]) for r in A.label_faults(labels, records, "id", {"presence": ["YES", "NO"]}, digest="h").collect()}
+    assert got == {("a", "repeated"), ("z", "unknown"), ("c", "unlabelled"), ("b", "stale"), ("b", "presence")}
+    other = spark.createDataFrame([("a", "YES"), ("b", None)], "id string, presence string")
+    assert {tuple(r) for r in A.disagreements(labels.distinct(), other, "id", "presence").collect()} == {("b", "MAYBE", None), ("z", "NO", None)}

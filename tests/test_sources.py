@@ -14,7 +14,7 @@ from spansense.operators.claims import check_claims
 from spansense.operators.judge import KeywordJudge, ScriptedJudge
 from spansense.operators.pattern import Pattern
 from spansense.sources.lockfile import append_decisions, missing_keys, probabilities, read_lockfile
-from spansense.sources.texts import image_fits, image_size, line_number, read_jsonl, read_texts
+from spansense.sources.texts import image_fits, image_size, line_number, picture_assets, read_jsonl, read_texts, read_zip
 from spansense.streaming.matches import stream_findall, stream_sequences, windowed_counts
 
 
@@ -61,6 +61,22 @@ def test_files(spark, tmp_path):
         read_jsonl(spark, str(tmp_path / "d.jsonl"), "id int", key="id")
 
 
+def test_archives_and_assets(spark, tmp_path):
+    import hashlib
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x.txt", "hé")
+        z.writestr("y.txt", "unread")
+    digest = hashlib.sha256((tmp_path / "a.zip").read_bytes()).hexdigest()
+    assert [r["text"] for r in read_zip(spark, str(tmp_path / "a.zip"), ["x.txt"], sha256=digest).collect()] == ["hé"]
+    for bad in ({"sha256": "0" * 64}, {"members": ["z.txt"]}):
+        with pytest.raises(Exception):
+            read_zip(spark, str(tmp_path / "a.zip"), **{"members": ["x.txt"], **bad}).collect()
+    rows, assets = picture_assets(spark.createDataFrame([(1, bytearray(b"p")), (2, bytearray(b"p")), (3, None)], "id int, pic binary"), "pic")
+    assert assets.count() == 1 and [r["pic"] for r in rows.orderBy("id").collect()] == [assets.first()["asset"]] * 2 + [None]
+
+
 def test_images():
     png = b"\x89PNG\r\n\x1a\n" + struct.pack(">I4sII", 13, b"IHDR", 640, 480)
     assert image_size(png) == (640, 480) and image_fits(640, 480) and not image_fits(100, 900)
