@@ -183,7 +183,7 @@ def _literals(s: SparkSession, d: str) -> DataFrame:
 
 def _prior(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "events").withColumn("v", F.col("value").cast("string"))
-    return prior_turns(e, "user_id", ["ts", "event_id"], "event_type", "event_type").select("event_id", F.array_join("prior", "|").alias("prior"))
+    return prior_turns(e, "user_id", ["ts", "event_id"], "event_type", "event_type", day=F.to_date("ts")).select("event_id", F.array_join("prior", "|").alias("prior"))
 
 
 def _line_numbers(s: SparkSession, d: str) -> DataFrame:

@@ -298,10 +298,20 @@ def coverage(candidates: DataFrame, matches: DataFrame) -> DataFrame:
     return a.join(F.broadcast(b)).withColumn("rejected", F.col("candidates") - F.col("accepted") - F.col("uncertain"))
 
 
-def prior_turns(messages: DataFrame, group: str, order: list[str], speaker: str, text: str, n: int = 2) -> DataFrame:
-    """Adds ``prior``: up to ``n`` turns of the group before each, written ``speaker: text``, oldest first."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(-n, -1)
-    return messages.withColumn("prior", F.collect_list(F.concat(F.col(speaker), F.lit(": "), F.col(text))).over(w))
+def prior_turns(messages: DataFrame, group: str, order: list[str], speaker: str, text: str, n: int = 2, *, day: Column | None = None) -> DataFrame:
+    """Adds ``prior``: up to ``n`` turns of the group before each, written ``speaker: text``, oldest first; turns without a speaker or text are left out.
+
+    Without ``day`` a group is read in one window. With it, a coarse part of the order, places are counted by it first and every turn is sent to its successors' places, so that no task sees a whole hot group.
+    """
+    turn = F.concat(F.col(speaker), F.lit(": "), F.col(text))
+    if day is None:
+        w = Window.partitionBy(group).orderBy(*order).rowsBetween(-n, -1)
+        return messages.withColumn("prior", F.collect_list(turn).over(w))
+    rows = Sequence((), (), group).positions(messages, order, day)
+    ahead = rows.select("_g", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("d"), "_pos", turn.alias("turn")).select("_g", (F.col("_pos") + F.col("d")).alias("_pos"), F.struct((-F.col("d")).alias("d"), "turn").alias("t"))
+    lists = ahead.where("t.turn is not null").groupBy("_g", "_pos").agg(F.sort_array(F.collect_list("t")).alias("ts")).select("_g", "_pos", F.col("ts.turn").alias("prior"))
+    joined = rows.join(lists, ["_g", "_pos"], "left").drop("_g", "_pos")
+    return joined.withColumn("prior", F.coalesce("prior", F.array().cast("array<string>")))
 
 
 def failed_remedy(*, group: str = "ticket_id", time: str = "time", speaker: str = "speaker", text: str = "text") -> Sequence:

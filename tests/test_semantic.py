@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spansense.errors import DefinitionError, EvaluationFailed, InputError, PlanMismatch
 from spansense.operators.judge import KeywordJudge, ScriptedJudge
 from spansense.semantic import Band, Predicate, Relation, bind, evaluate, explain, failed_remedy, field, gap, kleene_or, needed, sequence
-from spansense.semantic.sequence import Limits
+from spansense.semantic.sequence import Limits, prior_turns
 
 JUDGE = KeywordJudge({"bad": ["bad"], "unsure": ["maybe"]}, hit=0.95, miss=0.03)
 BAD = Predicate("bad", "is it bad", {"text": "text"})
@@ -173,3 +173,10 @@ def test_bind_and_explain(spark, chat):
         bind(field("nothing").lt(3), chat, "id")
     with pytest.raises(DefinitionError):
         Predicate("p", "q", {"t": "text"}, criteria={"maybe": "x"})
+
+
+def test_prior_turns_by_days_and_in_one_window(spark):
+    rows = [(f"g{i % 2}" if i % 7 else None, i, "a" if i % 3 else None, f"t{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, n int, who string, what string")
+    want = {r["n"]: r["prior"] for r in prior_turns(df, "g", ["n"], "who", "what").collect()}
+    assert {r["n"]: r["prior"] for r in prior_turns(df, "g", ["n"], "who", "what", day=F.floor(F.col("n") / 10)).collect()} == want
