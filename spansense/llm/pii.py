@@ -12,6 +12,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -83,10 +84,10 @@ PHONE = re.compile(
     rf"|{_B}0\d{{3,4}}{_S}\d{{6,7}}"
     rf"|{_B}0\d(?:{_S}\d{{2}}){{4}}"
     rf"|{_B}\d{{10}})"
-    rf"(?:,? ?(?:ext\.?|extension|x|durchwahl|poste) ?\d{{1,6}})?{_E}"
-    rf"|(?<!\w)(?:{DIGIT_WORDS})(?:(?:[ ,\-–]{{1,3}})(?:{DIGIT_WORDS})){{6,14}}(?!\w)",
+    rf"(?:,? ?(?:ext\.?|extension|x|durchwahl|poste) ?\d{{1,6}})?{_E}",
     re.I,
 )
+SPOKEN_PHONE = re.compile(rf"(?<!\w)(?:{DIGIT_WORDS})(?:(?:[ ,\-–]{{1,3}})(?:{DIGIT_WORDS})){{6,14}}(?!\w)", re.I)
 ID_NUMBER = re.compile(
     rf"{_B}(?:\d{{3}}([- ])\d{{2}}\1\d{{4}}|[a-z]{{2}} ?\d{{2}} ?\d{{2}} ?\d{{2}} ?[a-d]|[xyz]?\d{{7,8}}-?[a-z]|[a-z]\d{{7,8}}|[a-z]\d[a-z]\d[a-z]\d{{3}}[a-z]"
     rf"|[a-z]{{5}}\d{{6}}[a-z]\d[a-z]{{2}}|\d{{2}}\.\d{{2}}\.\d{{2}}-\d{{3}}\.\d{{2}}){_E}",
@@ -142,7 +143,7 @@ def fit_lexicon(golds: list[list[str]]) -> Lexicon:
     for spans in golds:
         for span in spans or []:
             s = (span or "").strip()
-            if not s or re.search(r"\d|[@＠\[\](){}]", s) or EMAIL.search(s) or PHONE.search(s):
+            if not s or re.search(r"\d|[@＠\[\](){}]", s) or EMAIL.search(s) or PHONE.search(s) or SPOKEN_PHONE.search(s):
                 continue
             if re.fullmatch(rf"{_W}(?:-{_W})*, {_W}(?:-{_W})*", s):
                 f, g = s.lower().split(", ")
@@ -169,7 +170,9 @@ _BIRTH_DATE = re.compile(
     r"(?P<date>\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[./-]\d{1,2}[./-]\d{4})(?!\w|[-/.]\d)",
     re.I,
 )
-_STREET_WORDS = frozenset(re.sub(r"[^\w|]", "", f"{EN_STREET}|{FR_STREET}|{DE_STREET}|{ES_STREET}|c|p|pº|am|an|auf|im|in|zum|zur|unter|hinter|beim|vor").split("|"))
+_STREET_WORDS = frozenset(re.sub(r"[^\w|]", "", f"{EN_STREET}|{FR_STREET}|{DE_STREET}|{ES_STREET}|c|p|pº").split("|")) | {p for p in DE_PLACE.split("|") if " " not in p}
+_STREET_PLACES = tuple(f"{p} " for p in DE_PLACE.split("|") if " " in p)
+_DOT_WORDS = frozenset("dot punkt point punto".split())
 _STREET_ENDS = ("straße", "strasse", "str", "weg", "platz", "allee", "gasse", "ufer", "damm", "ring", "steig", "stieg", "graben", "zeile", "grund", "chaussee", "brücke", "winkel", "pfad")
 _PLACE_CODE = re.compile(r", \d{5} ")
 _CUE_WORDS = frozenset("name nombre nom this hier ich soy je c est c'est c’est my i deliver regards best thanks cheers sincerely yours grüße saludos cordialement".split())
@@ -221,10 +224,10 @@ class Finder:
                 found.append((a, b, kind))
 
         line, place, team = _Before(ORG_LINE, text, ".!?\n"), _Before(ORG_PLACE, text, ".!?\n"), _Before(TEAM_LINE, text, "\n")
-        if "@" in text or "＠" in text or "at" in words:
+        if "@" in text or "＠" in text or ("at" in words and (not _DOT_WORDS.isdisjoint(words) or any(m in low for m in ("(at)", "[at]", "{at}")))):
             for m in EMAIL.finditer(text):
                 take(*m.span(), None if mailbox_is_shared(m.group()) else "email")
-        if digits and (not _STREET_WORDS.isdisjoint(words) or any(w.endswith(_STREET_ENDS) for w in words) or _PLACE_CODE.search(text)):
+        if digits and (not _STREET_WORDS.isdisjoint(words) or any(w.endswith(_STREET_ENDS) for w in words) or any(p in low for p in _STREET_PLACES) or _PLACE_CODE.search(text)):
             for m in ADDRESS.finditer(text):
                 a, b = m.span()
                 if free(a, b):
@@ -235,9 +238,10 @@ class Finder:
             for m in _BIRTH_DATE.finditer(text):
                 if free(*m.span("date")):
                     take(*m.span("date"), BIRTH)
-        spoken = not _NUMBER_WORDS.isdisjoint(words)
-        for rx, kind in ((ID_NUMBER, "id_number"), (PHONE, "phone")) if digits else ((PHONE, "phone"),) if spoken else ():
-            for m in rx.finditer(text):
+        spoken = SPOKEN_PHONE.finditer(text) if not _NUMBER_WORDS.isdisjoint(words) else ()
+        figures = PHONE.finditer(text) if digits else ()
+        for kind, matches in (("id_number", ID_NUMBER.finditer(text) if digits else ()), ("phone", chain(figures, spoken))):
+            for m in matches:
                 a, b = m.span()
                 if kind == "phone" and (one := NEW_ONE.match(m.group())) and COUNTED.search(text, max(0, a - 10), a):
                     a += one.end()  # "my new one" is followed by the number
