@@ -133,7 +133,6 @@ _SCRIPT_MARKS = ("script", "skript", "js", "cookie", "browser", "navegador", "na
 _MACHINE_MARKS = ("error", "exception", "traceback", "errno", "fatal", "oops", "rate limit", "did not work", 'file "')
 _MACHINE_SIGNS = re.compile(r"(?<!\d)[45]\d\d(?!\d)|/\d|\(\w+\.\w+:\d|\[\w+\]$", re.M)
 _SENTENCE = re.compile(r"[^\n]*?(?:[.!?](?=\s|$)|[。！？]|\n|$)", re.S)
-_SPACES = re.compile(r"[^\S\n]+")
 _DIGITS = re.compile(r"\d+")
 _WORDS = re.compile(r"[^\W\d_]+|\d+")
 _SPOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
@@ -146,10 +145,14 @@ _FILL_WORDS = frozenset(
 _FILL_RUNS = ("your text", "your content", "your headline", "goes here", "not publish", "hier steht", "replace this", "change this")
 
 
+def _bare_line(line: str) -> str:
+    return " ".join(line.split()).strip(" >")
+
+
 def normal_lines(text: str) -> list[str]:
     """The lines of a text that aren't blank, without case, outer marks of quotation, runs of blanks and the values of their numbers."""
-    folded = _DIGITS.sub("0", _SPACES.sub(" ", text.lower()))
-    return [bare for line in folded.split("\n") if (bare := line.strip(" >\r\t"))]
+    folded = _DIGITS.sub("0", text.lower())
+    return [bare for line in folded.split("\n") if (bare := _bare_line(line))]
 
 
 def is_label(line: str) -> bool:
@@ -229,7 +232,7 @@ def _asks(bare: str) -> bool:
 def families(low: str) -> tuple[bool, bool, bool, bool, bool]:
     """Whether a folded text can hold filler, a notice about scripts, a failure told in words, one written by a machine, and one in a script without spaces."""
     words = set(_WORDS.findall(low))
-    wrong = not FAILS.isdisjoint(words) or "n't" in low or "n’t" in low or "n'" in low or _GAVE_OUT.search(low) is not None
+    wrong = not FAILS.isdisjoint(words) or "n't" in low or "n’t" in low or "n'" in low or ((" out" in low or " offline" in low or " down" in low) and _GAVE_OUT.search(low) is not None)
     told = (wrong and not THINGS.isdisjoint(words)) or not (FAULT_NOUNS.isdisjoint(words) or SUDDEN.isdisjoint(words))
     joined = not low.isascii() and _NO_SPACES.search(low) is not None
     return joined or _may_fill(low, words), any(m in low for m in _SCRIPT_MARKS), told, _may_be_machine(low), joined
@@ -287,7 +290,7 @@ def read_lines(text: str) -> list[tuple[int, int, int, int]] | None:
     near, may = HOLE_CUES.near(low), families(low)
     if not near and not any(may):
         return None
-    lines = [(line, shown) for line, shown in zip(text.split("\n"), fenced.split("\n")) if line.strip(" >\r\t")]
+    lines = [(line, shown) for line, shown in zip(text.split("\n"), fenced.split("\n")) if _bare_line(line)]
     cut: list[tuple[int, str]] = []
     for n, (_, shown) in enumerate(lines):
         bare = shown.strip()
