@@ -33,6 +33,9 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: Cuts: the bytes that the rolling hash sees, the mean distance of cuts as a power of two, and the least and most bytes between two.
 WINDOW, MEAN_BITS, LEAST, MOST = 16, 11, 256, 16_384
 
+#: Bytes of texts that are searched for cuts at once.
+BLOCK_BYTES = 4 << 20
+
 #: A chunk that stands this often in one Arrow batch is hot: its texts go to one of so many tasks, each of which encodes it.
 HOT_IN_BATCH, HOT_TASKS = 64, 64
 
@@ -63,6 +66,29 @@ def cut_points(data: np.ndarray, *, window: int = WINDOW, mean_bits: int = MEAN_
     return np.flatnonzero((h >> np.uint32(window)) & np.uint32((1 << mean_bits) - 1) == 0) + 1
 
 
+def cuts_of(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The bytes of each text and its cuts, found over blocks of texts at once.
+
+    What the hash of a text's first bytes sees of the text before it doesn't matter: no chunk is shorter than the hash's window.
+    """
+    assert LEAST > WINDOW
+    first = 0
+    while first < len(raws):
+        last, size = first, 0
+        while last < len(raws) and (last == first or size + len(raws[last]) <= BLOCK_BYTES):
+            size += len(raws[last])
+            last += 1
+        data = np.frombuffer(b"".join(raws[first:last]), np.uint8)
+        cuts = cut_points(data)
+        ends = np.cumsum([len(r) for r in raws[first:last]])
+        places = np.searchsorted(cuts, ends)
+        at = since = 0
+        for end, place in zip(ends.tolist(), places.tolist()):
+            yield data[at:end], cuts[since:place] - at
+            at, since = end, place
+        first = last
+
+
 def chunk_bounds(size: int, cuts: np.ndarray, data: np.ndarray, *, least: int = LEAST, most: int = MOST) -> list[int]:
     """The ends of a text's chunks, on character bounds, ``least`` to about ``most`` bytes apart; the last is ``size``."""
     ends, at = [], 0
@@ -93,14 +119,10 @@ def split_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     for batch in batches:
         places: dict[tuple[bool, bytes], list[tuple]] = {}
-        for doc, row, text in zip(*[batch.column(i).to_pylist() for i in range(3)]):
-            raw = (text or "").encode()
+        raws = [(text or "").encode() for text in batch.column(2).to_pylist()]
+        for doc, row, raw, (data, cuts) in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raws, cuts_of(raws), strict=True):
             at = 0
-            if len(raw) > LEAST:
-                data = np.frombuffer(raw, np.uint8)
-                ends = chunk_bounds(len(raw), cut_points(data), data)
-            else:
-                ends = [len(raw)]
+            ends = chunk_bounds(len(raw), cuts, data) if len(raw) > LEAST else [len(raw)]
             for seq, end in enumerate(ends):
                 places.setdefault((len(ends) == 1, raw[at:end]), []).append((doc, row, seq))
                 at = end

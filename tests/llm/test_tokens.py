@@ -112,3 +112,11 @@ def test_hot_chunks_are_spread_and_kept_whole(spark, words):
     df = spark.createDataFrame([(i, "the same notice again" if i % 3 == 0 else f"text {i}", i) for i in range(3000)], "doc_id bigint, text string, row bigint")
     rows = {r["doc_id"]: r["ids"] for r in tokens.p6_ids(df).collect()}
     assert len(rows) == 3000 and all(rows[i] == words.enc.encode_ordinary("the same notice again") for i in range(0, 3000, 3)) and rows[1] == words.enc.encode_ordinary("text 1")
+
+
+def test_cuts_of_a_block_are_those_of_each_text():
+    rng = np.random.default_rng(4)
+    raws = [rng.integers(97, 110, int(n), dtype=np.uint8).tobytes() for n in rng.integers(0, 9000, 60)] + [b"", b"x" * 300]
+    for raw, (data, cuts) in zip(raws, tokens.cuts_of(raws), strict=True):
+        own = np.frombuffer(raw, np.uint8)
+        assert data.tobytes() == raw and tokens.chunk_bounds(len(raw), cuts, data) == tokens.chunk_bounds(len(raw), tokens.cut_points(own), own)
