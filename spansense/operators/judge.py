@@ -240,11 +240,14 @@ def decision_key(meaning: Column, text: Column, *, model: str, version: int = 2)
 
 
 class RecordedJudge(Judge):
-    """Answers from a table ``(key, p)`` of recorded decisions, and ``(key, answer)`` with :data:`ANSWER` structs for choices and scales; a miss is asked of ``live``, or an error in replay (``live`` none)."""
+    """Answers from a table ``(key, p)`` of recorded decisions, and ``(key, answer)`` with :data:`ANSWER` structs for choices and scales; a miss is asked of ``live``, or an error in replay (``live`` none).
+
+    The decisions may be as many as the rows, and Spark takes their digests for shorter than they are: they are joined by sorting, never broadcast.
+    """
 
     def __init__(self, decisions: DataFrame, *, model: str, live: Judge | None = None) -> None:
         columns = [F.col("key").alias("_key"), *([F.col("p").cast("double").alias("_p")] if "p" in decisions.columns else []), *([F.col("answer").alias("_answer")] if "answer" in decisions.columns else [])]
-        self.decisions, self.model, self.live = decisions.select(*columns).dropDuplicates(["_key"]), model, live
+        self.decisions, self.model, self.live = decisions.select(*columns).dropDuplicates(["_key"]).hint("merge"), model, live
 
     def _lookup(self, rows: DataFrame, question: str, text: str, out: str, found: Column, ask: Callable[[Judge, DataFrame], DataFrame]) -> DataFrame:
         keyed = rows.withColumn("_k", decision_key(F.lit(question), F.col(text), model=self.model))
@@ -260,6 +263,11 @@ class RecordedJudge(Judge):
 
     def score(self, spans: DataFrame, meaning: str | Ask, *, text: str = "text", out: str = "p", near: str | None = None) -> DataFrame:
         found = F.col("_p") if "_p" in self.decisions.columns else F.col("_answer.noul")
+        if isinstance(self.live, KeywordJudge):
+            # keywords are looked for where the text is, recorded or not: that costs less than to read the rows twice and to move the texts
+            keyed = spans.withColumns({"_k": decision_key(F.lit(str(meaning)), F.col(text), model=self.model), "_live": self.live.expression(F.col(text), meaning)})
+            known = keyed.join(self.decisions, F.col("_k") == F.col("_key"), "left")
+            return known.withColumn(out, F.when(F.col("_key").isNotNull(), found).otherwise(F.col("_live"))).drop("_k", "_live", *self.decisions.columns)
         return self._lookup(spans, str(meaning), text, out, found, lambda live, rows: live.score(rows, meaning, text=text, out=out, near=near))
 
     def choose(self, rows: DataFrame, question: str, options: Mapping[str, str | None], *, text: str = "text", out: str = "pick") -> DataFrame:

@@ -10,6 +10,7 @@ from spansense.operators.judge import ColumnJudge, KeywordJudge, LabelJudge, Rec
 from spansense.operators.requests import pack_windows, requests_of, token_estimate, within_budget
 from spansense.errors import BackendError, BudgetExceeded, CacheMiss, ConfigError, RequestLimitExceeded, UnsupportedCapability
 from spansense.functions.questions import ANSWER, Box, Choice, Noul, Score
+from spansense.plans import catalog
 from spansense.runtime import checkpointed
 
 JUDGE = KeywordJudge({"insult": ["fool", "rat"], "total": ["total due"], "urgent": ["now"]})
@@ -96,6 +97,31 @@ def test_recorded_judge(spark, docs):
     assert replay.misses(lines, "another meaning").count() == lines.select("text").distinct().count()
 
 
+def test_recorded_decisions_are_joined_without_broadcast(spark, docs):
+    lines = insults().scan(docs).select("doc_id", "text")
+    key = decision_key(F.lit("is an insult"), F.col("text"), model="m").alias("key")
+    # one row is recorded with a probability of its own and one with none, the others are asked
+    known = spark.range(2).select(F.when(F.col("id") == 0, F.lit("rat")).otherwise(F.lit("You fool.")).alias("text"), F.when(F.col("id") == 0, F.lit(0.2)).alias("p")).select(key, "p")
+    wanted = [(1, "A rat, indeed.", 0.95), (1, "All is well.", 0.03), (1, "You fool.", None), (2, "Nothing here.", 0.03), (5, "rat", 0.2)]
+    for live in (JUDGE, ColumnJudge(JUDGE.expression), ScriptedJudge(lambda t, q: 0.95 if "rat" in t else 0.03)):
+        got = RecordedJudge(known, model="m", live=live).score(lines, "is an insult")
+        assert got.columns == ["doc_id", "text", "p"]
+        assert [tuple(r) for r in sorted(got.collect(), key=lambda r: r[:2])] == wanted
+        assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    misses = RecordedJudge(known, model="m").misses(lines, "is an insult")
+    assert {r["text"] for r in misses.collect()} == {"A rat, indeed.", "All is well.", "Nothing here."}
+    assert "BroadcastHashJoin" not in misses._jdf.queryExecution().executedPlan().toString()
+
+
+def test_recorded_lines_read_texts_once_a_side(spark, tmp_path):
+    rows = [(1, "All is well.\nRefund me.\nAll is well."), (2, "Refund me.\n\nAll is well."), (3, None), (4, " \n"), (5, "I was charged twice")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.queries()["recorded_lines"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 3), (2, 1, 2), (5, 1, 1)]
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" not in plan and plan.count("ArrowEvalPython") == 2
+
+
 def test_extract(spark):
     rows = [(1, "pay $5 subtotal, then total due $12 now"), (2, "no value"), (3, "first $7 here, and the total due $7 there"), (4, "$1 or $2"), (5, None)]
     df = spark.createDataFrame(rows, "doc_id int, text string")
